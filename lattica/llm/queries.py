@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_counts, wavelet
+from . import decontam, langid, media, packing, secrets, simhash, token_counts, toxicity, warc, wavelet
 from .common import tables, tokenizer_path
 
 
@@ -24,12 +25,56 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op4_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(tables(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    found = warc.records(warc.read_archives(files, payloads=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(tables(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.fingerprints(media.media_column(tables(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.size("codes"), F.hex(F.xxhash64("frames", "codes")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("not held_out"), tokenizer_path("piece_bpe_32k.model"))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(tables(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, tables(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_simhash_near_duplicates, op3_packing, op5_token_counts)}
+    found = (
+        op1_wavelet_shards,
+        op2_simhash_near_duplicates,
+        op3_packing,
+        op4_web_archives,
+        op5_token_counts,
+        op6_media_fingerprints,
+        op7_language_id,
+        op8_spaced_seed_decontamination,
+        op9_entropy_secrets,
+        op10_ordinal_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

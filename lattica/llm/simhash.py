@@ -201,3 +201,24 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
+
+
+def representatives(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """The rows of docs, with their columns, whose doc_id is their component's component_id; one of rows that share it.
+
+    Rows with a null doc_id stay only where their whole component has no doc_id, one for each text.
+    """
+    kept = near_duplicates(docs, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = kept.where("doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    key = F.col("doc_id").cast("long")
+    out = docs.join(named, key == F.col("kept_id"), "left_semi")
+    again = docs.groupBy(key.alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null")
+    if not again.isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    bare = kept.where("doc_id is null").select("fp").distinct()
+    if not bare.isEmpty():
+        alone = docs.where("doc_id is null").dropDuplicates(["text"])
+        marked = alone.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+        prints = fingerprints(marked.withColumn("doc_id", F.col("_row"))).join(bare, "fp", "left_semi").select(F.col("doc_id").alias("_row")).distinct()
+        out = out.unionByName(marked.join(prints, "_row", "left_semi").drop("_row"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
