@@ -1,13 +1,14 @@
 """Operator 10: severity grades by cumulative-link ordinal regression on sparse text features.
 
 One weight per feature is shared by all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . features). Features
-are words that tell grades apart. A word's evidence is the number of different words before which, and labels under
-which, it stands, so that copies of a text count once.
+are words and beginnings of words that tell grades apart, by the texts of each kind that hold them. A feature must stand
+before many different words (told apart by a hash into 64), so that a word of one text and its copies is none.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, columns_as, sliced, stored
 
-#: Labelled rows used for fitting (taken by a hash of the text), features kept, and contexts a feature needs.
-SAMPLE_ROWS, FEATURES, CONTEXTS = 20_000, 500, 8
+#: Labelled rows used for fitting (taken by a hash of the text), features kept, and different words (of 64 hashes) that must follow one, and the least log-likelihood ratio.
+SAMPLE_ROWS, FEATURES, CONTEXTS, EVIDENCE = 20_000, 500, 8, 18.0
 GRADES = 3
+#: Beginnings of words that are features, by length; the sign that ends a whole word; signs by which unknown words are left out.
+STEMS, END, HEAD = range(4, 10), "$", 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -31,9 +34,10 @@ class Model:
     thresholds: list[float]
 
 
-def grade(toxic: str = "toxic", quality: str = "quality"):
-    """Severity from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of poor quality."""
-    return F.when(F.col(toxic) == 0, 0).when(F.coalesce(F.col(quality), F.lit(1)) == 1, 1).otherwise(2)
+def severity(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Grades to fit: 0 not toxic, 1 toxic, 2 toxic with more telling words than half of the toxic texts that have any."""
+    some = hits[(toxic > 0) & (hits > 0)]
+    return np.where(toxic == 0, 0, 1 + (hits > (np.median(some) if len(some) else 0)))
 
 
 def probabilities(z: np.ndarray, thresholds: list[float]) -> np.ndarray:
@@ -42,89 +46,132 @@ def probabilities(z: np.ndarray, thresholds: list[float]) -> np.ndarray:
     return np.diff(below, axis=1, prepend=0, append=1)
 
 
-def fit_ordinal(row: np.ndarray, column: np.ndarray, grades: np.ndarray, n_features: int, rounds: int = 400, penalty: float = 1e-3, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds of least penalised negative log-likelihood, by adaptive gradient steps.
+def features(text: str, heads: set[str] | None = None) -> set[str]:
+    """A text's features: its words in lower case, marked at their end, and beginnings of words. heads: of those that are wanted."""
+    words = {w + END for w in _WORD.findall(text.lower())}
+    if heads is not None:
+        words = {w for w in words if w[:HEAD] in heads}
+    return words | {w[:k] for w in words for k in STEMS if len(w) > k + 1}
 
-    The features of row row[i] hold column[i]. Steps between thresholds are kept positive by an exponential.
-    """
+
+def _loss(theta: np.ndarray, row: np.ndarray, column: np.ndarray, grades: np.ndarray, n_features: int, penalty: float) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log-likelihood and its gradient; theta: weights, first threshold, logs of the steps to the others."""
     n, k = len(grades), GRADES - 1
-    share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES)[:k]) / max(n, 1), 1e-4, 1 - 1e-4)
+    w, t = theta[:n_features], theta[n_features:]
+    steps = np.exp(np.clip(t[1:], -20, 20))
+    cut = np.cumsum([t[0], *steps])
+    z = np.bincount(row, w[column], n)
+    below = 1 / (1 + np.exp(np.clip(z[:, None] - cut[None, :], -500, 500)))
+    edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
+    slope = edges * (1 - edges)
+    here = np.arange(n)
+    p = np.maximum(edges[here, grades + 1] - edges[here, grades], 1e-12)
+    up, down = slope[here, grades + 1] / p, slope[here, grades] / p
+    by_cut = np.array([np.where(grades == j + 1, down, 0).sum() - np.where(grades == j, up, 0).sum() for j in range(k)]) / n
+    gradient = np.concatenate([np.bincount(column, (up - down)[row], n_features) / n + penalty * w, [by_cut.sum()], [steps[j] * by_cut[j + 1 :].sum() for j in range(k - 1)]])
+    return float(-np.log(p).mean() + penalty * (w @ w) / 2), gradient
+
+
+def fit_ordinal(row: np.ndarray, column: np.ndarray, grades: np.ndarray, n_features: int, rounds: int = 300, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds of least penalised negative log-likelihood, by limited-memory quasi-Newton steps.
+
+    Row row[i] has feature column[i]. Steps between thresholds are kept positive by an exponential.
+    """
+    share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES)[: GRADES - 1]) / max(len(grades), 1), 1e-4, 1 - 1e-4)
     first = np.log(share / (1 - share))
-    w, t = np.zeros(n_features), np.array([first[0], *np.log(np.maximum(np.diff(first), 1e-2))])
-    seen_w, seen_t = np.full(n_features, 1e-8), np.full(k, 1e-8)
+    theta = np.concatenate([np.zeros(n_features), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
+    value, gradient = _loss(theta, row, column, grades, n_features, penalty)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        cut = np.cumsum([t[0], *np.exp(t[1:])])
-        z = np.bincount(row, w[column], n)
-        below = 1 / (1 + np.exp(np.clip(z[:, None] - cut[None, :], -500, 500)))
-        edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
-        slope = edges * (1 - edges)
-        p = np.maximum(edges[np.arange(n), grades + 1] - edges[np.arange(n), grades], 1e-12)
-        up, down = slope[np.arange(n), grades + 1], slope[np.arange(n), grades]
-        by_z = (up - down) / p
-        g_w = np.bincount(column, by_z[row], n_features) / max(n, 1) + penalty * w
-        g_cut = np.zeros(k)
-        for j in range(k):
-            g_cut[j] = -(np.where(grades == j, up, 0) / p - np.where(grades == j + 1, down, 0) / p).sum() / max(n, 1)
-        g_t = np.array([g_cut.sum(), *(np.exp(t[j]) * g_cut[j:].sum() for j in range(1, k))])
-        seen_w, seen_t = seen_w + g_w**2, seen_t + g_t**2
-        w, t = w - rate * g_w / np.sqrt(seen_w), t - rate * g_t / np.sqrt(seen_t)
-    return w, np.cumsum([t[0], *np.exp(t[1:])])
+        way, scales = gradient.copy(), []
+        for s, y in reversed(past):
+            scales.append((s @ way) / (y @ s))
+            way -= scales[-1] * y
+        if past:
+            s, y = past[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(scales), strict=True):
+            way += s * (a - (y @ way) / (y @ s))
+        size, fall = 1.0, gradient @ way
+        while size > 1e-8:
+            after, slope = _loss(theta - size * way, row, column, grades, n_features, penalty)
+            if after <= value - 1e-4 * size * fall:
+                break
+            size /= 2
+        else:
+            break
+        s, y = -size * way, slope - gradient
+        theta, gradient, before, value = theta + s, slope, value, after
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y)]
+        if before - value < 1e-9:
+            break
+    return theta[:n_features], np.cumsum([theta[n_features], *np.exp(theta[n_features + 1 :])])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    marks = columns_as(labels, id="doc_id", toxic="toxic", quality="quality").where("id is not null and toxic is not null")
-    marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).select("id", grade().alias("grade"))
+    marks = columns_as(labels, id="doc_id", toxic="toxic").where("id is not null and toxic is not null")
+    marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     share = min(1.0, sample_rows / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    return columns_as(docs, id="doc_id", text="text").where("text is not null").join(marks, "id").select("text", "grade")
+    return columns_as(docs, id="doc_id", text="text").where("text is not null").join(marks, "id").select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, contexts: int = CONTEXTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = FEATURES, contexts: int = CONTEXTS) -> Model:
     """Fits on about sample_rows labelled rows, taken by a hash of doc_id; no labels: a model that grades all rows 0.
 
     A label that repeats counts once, as toxic if any says so. Rows of docs without a label or text are not used.
     """
     rows = stored(_labelled(docs, labels, sample_rows), "toxicity-rows")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n)
-    schema = pa.schema([("word", pa.string()), ("next", pa.string()), ("grade", pa.int32())])
-
-    def contexts_of(batches):
-        for batch in sliced(batches, column=0, size=2 << 20):
-            seen = set()
-            for text, grade in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = _WORD.findall(text.lower())
-                seen.update(zip(words, [*words[1:], ""], [min(grade, 1)] * len(words)))
-            if seen:
-                yield arrow_batch(schema, list(zip(*seen, strict=True)))
-
-    found = rows.mapInArrow(contexts_of, "word string, next string, grade int").distinct()
-    found = found.groupBy("word").agg(F.sum(F.when(F.col("grade") > 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("grade") == 0, 1).otherwise(0)).alias("good"))
-    sizes = found.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    sizes = rows.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("bad"), F.count(F.when(F.col("toxic") == 0, 1)).alias("good")).first()
     if not sizes.bad:
         return Model({}, [20.0, 40.0])
-    # How far a word's contexts are from those of all words: a log-likelihood ratio.
-    share = sizes.bad / (sizes.bad + (sizes.good or 0))
+    schema = pa.schema([("word", pa.string()), ("bad", pa.int64()), ("good", pa.int64()), ("after", pa.int64())])
+
+    def evidence(batches):
+        bad, good, after = Counter(), Counter(), {}
+        for batch in sliced(batches, column=0, size=2 << 20):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (bad if toxic else good).update(features(text))
+                if toxic:
+                    words = _WORD.findall(text.lower())
+                    for word, following in set(zip(words, [*words[1:], ""])):
+                        bit = 1 << zlib.crc32(following.encode()) % 64
+                        for feature in features(word):
+                            after[feature] = after.get(feature, 0) | bit
+        words = list(bad | good)
+        if words:
+            masks = np.array([after.get(w, 0) for w in words], np.uint64).view(np.int64)
+            yield arrow_batch(schema, [words, [bad[w] for w in words], [good[w] for w in words], masks])
+
+    found = rows.mapInArrow(evidence, "word string, bad long, good long, after long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_or("after").alias("after"))
+    # How far a word's share of toxic texts is from that of all words: a log-likelihood ratio.
+    share = sizes.bad / (sizes.bad + sizes.good)
     total = F.col("bad") + F.col("good")
     term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (total * p))).otherwise(0.0)
     score = 2 * (term("bad", share) + (term("good", 1 - share) if share < 1 else F.lit(0.0)))
-    best = found.where((total >= contexts) & (F.col("bad") / total > share)).select("word", score.alias("score")).where("score > 10.83").orderBy(F.desc("score"), "word").limit(features).collect()
+    telling = found.where((F.bit_count("after") >= contexts) & (F.col("bad") / total > share))
+    best = telling.select("word", score.alias("score")).where(F.col("score") > EVIDENCE).orderBy(F.desc("score"), "word").limit(most).collect()
     index = {r.word: k for k, r in enumerate(best)}
-    pairs = pa.schema([("grade", pa.int32()), ("features", pa.list_(pa.int32())), ("n", pa.int64())])
+    heads = {w[:HEAD] for w in index}
+    pairs = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.int32())), ("hits", pa.int32()), ("n", pa.int64())])
 
     def sparse(batches):
         counts = Counter()
         for batch in sliced(batches, column=0, size=2 << 20):
-            for text, grade in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts[grade, tuple(sorted({k for w in set(_WORD.findall(text.lower())) if (k := index.get(w)) is not None}))] += 1
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = {w for w in _WORD.findall(text.lower()) if f"{w}{END}"[:HEAD] in heads}
+                own = [{k for f in features(w) if (k := index.get(f)) is not None} for w in words]
+                counts[min(toxic, 1), tuple(sorted(set().union(*own))), sum(map(bool, own))] += 1
         if counts:
-            yield arrow_batch(pairs, [[g for g, _ in counts], [f for _, f in counts], list(counts.values())])
+            yield arrow_batch(pairs, [*zip(*counts, strict=True), list(counts.values())])
 
-    fitted = rows.mapInArrow(sparse, "grade int, features array<int>, n long").collect()  # at most the sample's rows
-    row = np.array([k for k, r in enumerate(x for x in fitted for _ in range(x.n)) for _ in r.features], np.int64)
-    column = np.array([f for x in fitted for _ in range(x.n) for f in x.features], np.int64)
-    grades = np.array([x.grade for x in fitted for _ in range(x.n)], np.int64)
+    fitted = rows.mapInArrow(sparse, "toxic int, features array<int>, hits int, n long").collect()  # at most the sample's rows
+    each = [x for x in fitted for _ in range(x.n)]
+    row = np.array([k for k, x in enumerate(each) for _ in x.features], np.int64)
+    column = np.array([f for x in each for f in x.features], np.int64)
+    grades = severity(np.array([x.toxic for x in each]), np.array([x.hits for x in each]))
     weights, thresholds = fit_ordinal(row, column, grades, len(index))
     return Model({w: float(weights[k]) for w, k in index.items()}, thresholds.tolist())
 
@@ -137,11 +184,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("p_toxic", pa.float64()), ("expected_severity", pa.float64())])
     known, weights = set(model.weights), model.weights
+    heads = {w[:HEAD] for w in known}
 
     def run(batches):
         for batch in sliced(batches):
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "").to_pylist()
-            z = np.array([sum(weights[w] for w in sorted(known.intersection(_WORD.findall(t.lower())))) for t in texts])
+            z = np.array([sum(weights[w] for w in sorted(known & features(t, heads))) for t in texts])
             p = probabilities(z, model.thresholds) if len(z) else np.zeros((0, GRADES))
             yield arrow_batch(schema, [batch.column(0), p.argmax(axis=1).astype(np.int32), 1 - p[:, 0], p @ np.arange(GRADES)])
 

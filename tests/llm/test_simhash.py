@@ -1,0 +1,80 @@
+"""Operator 2 against all pairs."""
+
+import random
+
+import numpy as np
+import xxhash
+
+from lattica.llm import simhash
+
+
+def plain_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(names, prints):
+    root = list(range(len(prints)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    least = {}
+    for k, n in enumerate(names):
+        if n is not None:
+            least[find(k)] = min(n, least.get(find(k), n))
+    return [least.get(find(k)) for k in range(len(prints))]
+
+
+def test_fingerprints_and_components(docs, rows, none):
+    prints = [plain_fingerprint(t or "") for _, t in rows]
+    want = sorted(zip([str(d) for d, _ in rows], prints, map(str, components([d for d, _ in rows], prints))))
+    for crowded in (simhash.CROWDED, 2):
+        got = simhash.near_duplicates(docs, crowded).collect()
+        assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in got) == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_links_join_whatever_is_linked(spark):
+    """Chains, clusters and random fingerprints, by every way in which files are worked on."""
+    rng = random.Random(3)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    prints = {rng.getrandbits(64) for _ in range(40)} | {0, (1 << 64) - 1}
+    for base in rng.sample(sorted(prints), 12):
+        for k in (1, 2, 3, 4, 4, 4, 5):
+            prints.add(flip(base, k))
+            prints.add(flip(flip(base, k), k))
+    hub = rng.getrandbits(64)
+    prints |= {flip(hub, rng.randint(1, 3)) for _ in range(60)}
+    prints = sorted(prints)
+    wanted = components(list(range(len(prints))), prints)
+    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long").repartition(3)
+    from lattica.operators.graph import connected_components
+
+    for crowded in (20_000, 5):
+        found = {r.node % (1 << 64): r.component for r in connected_components(simhash.links(df, crowded), "a", "b").collect()}
+        classes = {}
+        for k, p in enumerate(prints):
+            classes.setdefault(found.get(p, ("alone", p)), set()).add(wanted[k])
+        assert all(len(c) == 1 for c in classes.values()) and len(classes) == len(set(wanted))
+
+
+def test_representatives(docs, rows):
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    prints = [plain_fingerprint(t or "") for _, t in rows]
+    owners = components([d for d, _ in rows], prints)
+    want = {d for (d, _), o in zip(rows, owners) if d is not None and d == o}
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(want)
+    assert ids.count(None) == len({t for (d, t), o in zip(rows, owners) if d is None and o is None})
