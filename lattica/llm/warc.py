@@ -169,11 +169,15 @@ def _record_at(source, at: int) -> tuple[dict, bytes, int]:
 
 
 def _next_line(source, at: int) -> int:
-    """The next version line at the start of a line, or the end."""
+    """The next version line at the start of a line, or elsewhere if a whole record begins there, or the end."""
     while (at := source.find(_ANY, at)) >= 0:
         if at == 0 or source.read(at - 1, 1) == b"\n":
             return at
-        at += 1
+        try:
+            _record_at(source, at)
+            return at
+        except Damaged:
+            at += 1
     return source.size
 
 
