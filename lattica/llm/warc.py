@@ -151,6 +151,8 @@ def _record_at(source, at: int) -> tuple[dict, bytes, int]:
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not (fields.get("warc-type") and fields.get("warc-record-id")):
+        raise Damaged("no type or record id")
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")

@@ -58,7 +58,7 @@ def test_salvage(spark, compressed):
         "flipped": (whole[: at[3] - 20] + bytes([whole[at[3] - 20] ^ 255]) + whole[at[3] - 19 :], [0, 1, 3, 4, 5, 6, 7], 1),  # in the payload, which the digest covers
         "noise between": (whole[: at[3]] + b"\x1f\x8b\x08 noise WARC/ " * 30 + whole[at[3] :], range(8), 1),
         "head lost": (whole[25:], range(1, 8), 1),
-        "bytes lost": (whole[: at[4] + 60] + whole[at[4] + 90 :], [0, 1, 2, 3, 5, 6, 7], 1),
+        "bytes lost": (whole[: at[5] - 60] + whole[at[5] - 30 :], [0, 1, 2, 3, 5, 6, 7], 1),
         "nothing but noise": (b"noise" * 100, [], 1),
         "empty": (b"", [], 0),
     }
