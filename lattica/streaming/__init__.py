@@ -1 +1 @@
-"""Empty: the reference has no stream processing, and none is made up for it."""
+"""Empty: no stream processing is asked for, and none is made up."""
