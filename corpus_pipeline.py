@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that overlap with a benchmark item."""
-    return decontam.clean(docs, tables(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, tables(spark, sf_dir, "benchmark"), decontam.WHOLE)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

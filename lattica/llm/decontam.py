@@ -1,8 +1,10 @@
 """Operator 8: benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 A mask looks at some of a run of words and ignores the others, so texts that differ in ignored places share a hash. The
-masks are laid over every place of every benchmark item and document; equal hashes are joined, and around each hit the
-two texts are compared word by word along the hit's diagonal. A hit counts if enough of the words there agree.
+masks are laid over every place of every benchmark item and document; equal hashes are joined, and from each hit the
+two texts are compared word by word along the hit's diagonal. A hit counts if it lies in a span, of any length, in which
+enough words and a large enough share of them agree (WHOLE, as the queries have it), or if the words within a set distance
+do. Such a window loses quotes from within a longer item, as the words around them count too.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ from pyspark.sql import functions as F
 from .common import columns_as
 
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
+#: For shares that floating point does not hold exactly.
+EPSILON = 1e-9
 
 
 @dataclass(frozen=True)
 class Seeds:
     #: 1: a word that counts. Both masks have six words over nine places.
     masks: tuple[str, ...] = ("110101011", "111001011")
-    #: Words compared on either side of a hit, the share of them that must agree, and how many must at least.
-    around: int = 12
+    #: Words compared on either side of a hit; None: as many as the texts have, to find the longest span that agrees enough.
+    around: int | None = 12
+    #: The share of the words compared, or of a span's, that must agree, and how many must at least.
     share: float = 0.8
     least: int = 12
-    #: Items shorter than a mask count as a whole; items with fewer words than this are not looked for.
+    #: Items of fewer than least words count as a whole, but for a share of 1 - share; those of fewer than this are not looked for.
     shortest: int = 5
     #: Benchmark hashes up to which they are broadcast; beyond, both sides are shuffled by hash.
     broadcast_rows: int = 2_000_000
@@ -34,6 +39,20 @@ class Seeds:
     def span(self) -> int:
         return max(map(len, self.masks))
 
+    def changes(self, n: int) -> int:
+        """Words of an item of n that may differ."""
+        return int((1 - self.share) * n + EPSILON)
+
+    def parts(self, n: int) -> list[tuple[int, int]]:
+        """(place, length) of the parts of a short item: as many as it may have changed words, and one that must agree."""
+        k = self.changes(n) + 1
+        ends = [n * i // k for i in range(k + 1)]
+        return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+#: Spans of any length.
+WHOLE = Seeds(around=None)
+
 
 def words(text: Column) -> Column:
     """A text's words in lower case (null: none)."""
@@ -53,23 +72,63 @@ def _hashes(rows: DataFrame, masks: list[str]) -> DataFrame:
     return spread.drop("spot").withColumn("hash", hash_of).where("hash is not null")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _best_span(theirs: Column, ours: Column, length: Column, begin: Column, end: Column, share: float) -> Column:
+    """(agree, compared) of the span with most equal words that holds begin to end and has that share; else null or nulls.
+
+    A longest span begins after a differing word and ends before one. With as many words as bad before a place, a span has
+    the share if (1 - share) * place - bad is not less at its end than at its begin.
+    """
+    score = lambda p: (1 - share) * p["at"] - p["bad"]
+    differs = F.filter(F.transform(F.zip_with(theirs, ours, lambda a, b: a != b), lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+
+    def spans(bounds: Column) -> Column:
+        begins = F.filter(F.transform(bounds, lambda b, k: F.struct((b + 1).alias("at"), k.alias("bad"))), lambda p: p["at"] <= begin)
+        ends = F.filter(F.transform(bounds, lambda b, k: F.struct(b.alias("at"), (k - 1).alias("bad"))), lambda p: p["at"] >= end)
+
+        def paired(both: Column) -> Column:
+            top = F.array_max(F.transform(both["ends"], score))
+            return _let(F.struct(_let(top, lambda t: F.filter(both["begins"], lambda p: score(p) <= t + EPSILON)).alias("begins"), both["ends"].alias("ends")), longest)
+
+        def longest(both: Column) -> Column:
+            low = F.array_min(F.transform(both["begins"], score))
+            useful = _let(low, lambda v: F.filter(both["ends"], lambda p: score(p) >= v - EPSILON))
+            first = lambda r: F.get(F.filter(both["begins"], lambda p: score(p) <= score(r) + EPSILON), 0)
+            measured = lambda r: _let(first(r), lambda b: F.struct((r["at"] - b["at"] - r["bad"] + b["bad"]).alias("agree"), (r["at"] - b["at"]).alias("compared")))
+            return F.array_max(F.transform(useful, measured))
+
+        agree = length - F.size(bounds) + 2
+        whole = F.struct(agree.alias("agree"), length.alias("compared"))
+        return F.when(agree >= share * length - EPSILON, whole).otherwise(_let(F.struct(begins.alias("begins"), ends.alias("ends")), paired))
+
+    return _let(F.concat(F.array(F.lit(-1)), differs, F.array(length)), spans)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
-    """(doc_id, item_id, hits, agree, compared): document and item pairs that overlap, the best overlap's words of each.
+    """(doc_id, item_id, hits, agree, compared): document and item pairs that overlap, the hits of each and its best overlap's words.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null text: no words. Null ids are kept as
-    such; rows that repeat an id count together. Items shorter than the masks match as a whole, items of fewer than
-    seeds.shortest words never. Empty tables give no rows.
+    such; rows that repeat an id count together. Items of fewer than seeds.least words match as a whole, but for a share of
+    1 - seeds.share of their words; items of fewer than seeds.shortest words never. Empty tables give no rows.
     """
     items = columns_as(benchmark, item="item_id", text="text").select("item", words(F.col("text")).alias("item_words")).distinct().withColumn("item_key", F.xxhash64("item_words"))
     size = F.size("item_words")
-    about = items.agg(F.sum(size).alias("words"), F.collect_set(F.when((size < seeds.span) & (size >= seeds.shortest), size)).alias("short")).first()
-    whole = len(seeds.masks)  # a mask from here on covers an item of its length, no part of a longer one
-    masks = [*seeds.masks, *("1" * n for n in sorted(about.short))]
+    about = items.agg(F.sum(size).alias("words"), F.collect_set(F.when((size < seeds.least) & (size >= seeds.shortest), size)).alias("short")).first()
+    whole = len(seeds.masks)  # masks from here on are parts of short items
+    parts = {(n, place, length) for n in about.short for place, length in seeds.parts(n)}
+    masks = [*seeds.masks, *("1" * n for n in sorted({length for _, _, length in parts}))]
     small = (about.words or 0) * len(masks) <= seeds.broadcast_rows
     bounded = F.broadcast if small else (lambda df: df)
     lengths = F.array(*[F.lit(len(m)) for m in masks])
     keys = _hashes(items.select("item_key", F.col("item_words").alias("words")).distinct(), masks)
-    keys = keys.where((F.col("mask") < whole) | (F.size("words") == F.get(lengths, F.col("mask"))))
+    of_short = F.lit(False)
+    for n, place, length in sorted(parts):
+        of_short |= (F.size("words") == n) & (F.col("place") == place) & (F.col("mask") == masks.index("1" * length, whole))
+    keys = keys.where((F.col("mask") < whole) | of_short)
     keys = keys.select("hash", "item_key", F.col("mask").alias("item_mask"), F.col("place").alias("item_place"))
     texts = columns_as(docs, doc="doc_id", text="text").select("doc", words(F.col("text")).alias("words"))
     if small:
@@ -79,15 +138,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds())
         hits = _hashes(texts, masks).drop("words").join(keys, "hash").withColumnRenamed("doc", "hit_doc")
         hits = hits.join(texts.distinct().withColumnRenamed("doc_key", "key"), F.col("doc_key") == F.col("key")).where(F.col("doc").eqNullSafe(F.col("hit_doc")))
     hits = hits.where("mask = item_mask").join(bounded(items), "item_key")
-    shift = F.col("place") - F.col("item_place")
-    hits = hits.withColumn("shift", shift).withColumn("low", F.greatest(F.col("item_place") - seeds.around, F.lit(0), -F.col("shift")))
-    end = F.least(F.col("item_place") + F.get(lengths, F.col("mask")) + seeds.around, size, F.size("words") - F.col("shift"))
-    hits = hits.withColumn("compared", end - F.col("low"))
-    theirs, ours = F.slice("item_words", F.col("low") + 1, F.col("compared")), F.slice("words", F.col("low") + F.col("shift") + 1, F.col("compared"))
-    hits = hits.withColumn("agree", F.size(F.filter(F.zip_with(theirs, ours, lambda a, b: a == b), lambda same: same)))
-    hits = hits.where((F.col("agree") >= F.least(F.lit(seeds.least), size)) & (F.col("agree") >= seeds.share * F.col("compared")))
-    best = F.max(F.struct("agree", "compared")).alias("best")
-    found = hits.groupBy("doc", "item").agg(F.count("*").alias("hits"), best)
+    hits = hits.withColumn("shift", F.col("place") - F.col("item_place"))
+    start, mask_end = F.col("item_place"), F.col("item_place") + F.get(lengths, F.col("mask"))
+    low, end = F.greatest(F.lit(0), -F.col("shift")), F.least(size, F.size("words") - F.col("shift"))
+    if seeds.around is not None:
+        low, end = F.greatest(low, start - seeds.around), F.least(end, mask_end + seeds.around)
+    length = end - low
+    theirs, ours = F.slice("item_words", low + 1, length), F.slice("words", low + F.col("shift") + 1, length)
+    follows = F.lit(False)
+    if seeds.around is None:
+        # All that a hit's span may hold is in that of the hit one place before it, so the first of a row of hits will do.
+        for m, mask in enumerate(seeds.masks):
+            if mask[0] == "1":
+                same = (F.col("mask") == m) & (F.col("place") > 0) & (F.col("item_place") > 0)
+                for i, c in enumerate(mask):
+                    if c == "1":
+                        same &= F.get("words", F.col("place") + (i - 1)) == F.get("item_words", F.col("item_place") + (i - 1))
+                follows |= same
+        best = _best_span(theirs, ours, length, start - low, mask_end - low, seeds.share)
+    else:
+        agree = F.size(F.filter(F.zip_with(theirs, ours, lambda a, b: a == b), lambda same: same))
+        best = _let(agree, lambda n: F.when(n >= seeds.share * length - EPSILON, F.struct(n.alias("agree"), length.alias("compared"))))
+    needed = F.when(size < seeds.least, size - F.floor((1 - seeds.share) * size + EPSILON)).otherwise(seeds.least)
+    best = F.when(~F.coalesce(follows, F.lit(False)), _let(best, lambda b: F.when(b["agree"] >= needed, b)))
+    lines = hits.select("doc", "item", "shift", best.alias("best")).groupBy("doc", "item", "shift").agg(F.count("*" if seeds.around is None else "best").alias("hits"), F.max("best").alias("best"))
+    found = lines.where("best is not null").groupBy("doc", "item").agg(F.sum("hits").alias("hits"), F.max("best").alias("best"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "hits", "best.agree", "best.compared")
 
 

@@ -48,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"), decontam.WHOLE)
 
 
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,61 @@ def test_decontamination(spark, broadcast_rows):
     assert decontam.contaminated(df, bench.where("false"), seeds).count() == 0
 
 
+def spans_from_hits(words, own, seeds):
+    """Whether a span of any length that holds a hit agrees enough: all begins and ends on all diagonals."""
+    need = seeds.least if len(own) >= seeds.least else len(own) - seeds.changes(len(own))
+    for shift in range(-len(own) + 1, len(words)):
+        low, end = max(0, -shift), min(len(own), len(words) - shift)
+        same = [own[i] == words[i + shift] for i in range(low, end)]
+        hits = [(p, p + len(m)) for m in seeds.masks for p in range(len(same) - len(m) + 1) if all(c == "0" or same[p + i] for i, c in enumerate(m))]
+        if len(own) < seeds.least:
+            hits.append((0, 0))
+        if hits and sum(same) >= need:
+            sums = [0, *itertools.accumulate(same)]
+            for a, b in itertools.combinations(range(len(sums)), 2):
+                n = sums[b] - sums[a]
+                if n >= need and 5 * n >= 4 * (b - a) and (len(own) < seeds.least or any(a <= p and q <= b for p, q in hits)):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("broadcast_rows", [2_000_000, 0])
+def test_quotes_from_within_an_item(spark, broadcast_rows):
+    rng = random.Random(12)
+    seeds = decontam.Seeds(around=None, broadcast_rows=broadcast_rows)
+    passage = lambda n, mark: [f"{mark}{rng.randint(0, 10**6)}" for _ in range(n)]
+    long = passage(80, "q")
+    items = [(0, long)] + [(n, passage(n, f"s{n}x")) for n in range(4, 15)]
+    docs, want = [], set()
+
+    def add(words, *pairs):
+        want.update((len(docs), item) for item in pairs)
+        docs.append(passage(40, "d") + words + passage(40, "e"))
+
+    for n in (12, 13, 16, 20, 24, 26, 27, 40, 80):
+        add(long[25 : 25 + n] if n < 60 else long, 0)
+    for n in (9, 10, 11):
+        add(long[25 : 25 + n])
+    changed = lambda words, at: ["other" if k in at else w for k, w in enumerate(words)]
+    add(changed(long[20:50], {9, 14, 19, 24, 29}), 0)
+    for n, own in items[1:]:
+        for k in range(3 if n < 12 else 0):
+            for at in itertools.combinations(range(n), k):
+                add(changed(own, set(at)), *[n] * (n >= 5 and k <= n // 5))
+    for _ in range(40):
+        add(changed(long, set(rng.sample(range(80), rng.randint(8, 30)))))
+    got = decontam.contaminated(
+        spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string").repartition(3),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"),
+        seeds,
+    ).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    assert want <= pairs
+    assert pairs == {(k, i) for k, w in enumerate(docs) for i, own in items if len(own) >= seeds.shortest and set(w) & set(own) and spans_from_hits(w, own, seeds)}
+    assert all(r.agree >= 0.8 * r.compared - 1e-9 and r.hits > 0 for r in got)
+    assert {r.doc_id: (r.agree, r.compared) for r in got if r.doc_id < 2} == {0: (12, 15), 1: (13, 16)}
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
