@@ -196,11 +196,19 @@ def sort_y_desc(spark, d):
     return legacy.ranked(vox(spark, d).where("name = 'stone'").select(*_place()), "y", True, ["x", "z"], "place")
 
 
+@query("SELECT x, y, z, row_number() OVER (ORDER BY y DESC, x, z) AS place FROM vox")
+def sort_y_desc_all(spark, d):
+    return legacy.ranked(vox(spark, d).select(*_place()), "y", True, ["x", "z"], "place")
+
+
 _LINES = "+lines AS (SELECT row_number() OVER (ORDER BY y, x, z) - 1 AS line_no, y, name || ':' || x || '.' || y || '.' || z AS value FROM vox WHERE name = 'sand') "
 
 
-def _lines(spark, d):
-    rows = vox(spark, d).where("name = 'sand'").select("x", "y", "z", F.concat_ws(":", "name", F.format_string("%d.%d.%d", "x", "y", "z")).alias("value"))
+_ALL_LINES = _LINES.replace(" WHERE name = 'sand'", "")
+
+
+def _lines(spark, d, kept="name = 'sand'"):
+    rows = vox(spark, d).where(kept).select("x", "y", "z", F.concat_ws(":", "name", F.format_string("%d.%d.%d", "x", "y", "z")).alias("value"))
     rows = legacy.ranked(rows, "y", False, ["x", "z"], "line_no")
     return rows.select((F.col("line_no") - 1).alias("line_no"), "y", "value")
 
@@ -215,6 +223,16 @@ def line_reverse(spark, d):
     return legacy.reversed_lines(_lines(spark, d).select("line_no", "value")).select("value", "place")
 
 
+@query(_ALL_LINES + "SELECT value, row_number() OVER (ORDER BY y DESC, line_no) AS place FROM lines")
+def line_sort_y_desc_all(spark, d):
+    return legacy.sorted_by_height(_lines(spark, d, "true").select("line_no", "value")).select("value", "place")
+
+
+@query(_ALL_LINES + "SELECT value, row_number() OVER (ORDER BY line_no DESC) AS place FROM lines")
+def line_reverse_all(spark, d):
+    return legacy.reversed_lines(_lines(spark, d, "true").select("line_no", "value")).select("value", "place")
+
+
 @query("SELECT l_partkey % 20 AS id, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE l_linenumber END AS prop, l_suppkey % 64 - 32 AS x, l_linenumber AS y, -(l_orderkey % 50) AS z, count(*) AS n FROM lineitem GROUP BY ALL")
 def legacy_line_format(spark, d):
     line = F.concat_ws(":", F.col("l_partkey") % 20, F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_linenumber").cast("string")), F.concat_ws(".", F.col("l_suppkey") % 64 - 32, "l_linenumber", -(F.col("l_orderkey") % 50)))
@@ -440,6 +458,11 @@ def below_footprint(spark, d):
     return buildings.below(_claims(spark, d)[1].where("y = 0"))
 
 
+@query(_PLANES + "SELECT DISTINCT comp, x + dx AS x, y - 1 AS y, z + dz AS z FROM claims, (VALUES (-1), (0), (1)) AS p(dx), (VALUES (-1), (0), (1)) AS q(dz)", recursive=True)
+def below_footprint_all(spark, d):
+    return buildings.below(_claims(spark, d)[1])
+
+
 @query()
 def building_raw(spark, d):
     return buildings.raw_components(_named(spark, d))

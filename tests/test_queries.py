@@ -40,3 +40,15 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_orders(spark):
+    n = entry.plans.vox(spark, DIR).count()
+    for name in ("sort_y_desc_all", "line_sort_y_desc_all", "line_reverse_all"):
+        assert sorted(r.place for r in entry.queries()[name](spark, DIR).select("place").collect()) == list(range(1, n + 1))
+
+
+def test_components_of_no_edges(spark):
+    from lattica.operators.graph import connected_components
+
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
