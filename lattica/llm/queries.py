@@ -32,7 +32,7 @@ def op4_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(tables(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+    return token_counts.counted_from_table(tables(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
 def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

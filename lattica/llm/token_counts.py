@@ -14,6 +14,8 @@ from __future__ import annotations
 import gc
 import re
 import zlib
+from array import array
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_batch, columns_as, sliced
+from .common import CACHE_WORDS, arrow_batch, columns_as, sliced, stored
 
 SPACE = "▁"
+#: Signs of a part of a text up to which its steps are kept.
+KEPT_SIGNS = 64
 
 
 class PrefixCounter:
@@ -52,6 +56,7 @@ class PrefixCounter:
         #: Letters, then signs that no piece joins to a letter before them: two units.
         self.head = re.compile(r"([^\W\d_]+)([" + re.escape("".join(c for c in ".,!?;:#$%&*|" if c not in joined)) + r"][^\w\s]*)")
         self.heads: dict[str, int] = {}
+        self.known_steps: dict[str, bytes] = {}
 
     def spaces(self, r):
         """Token counts of runs of r spaces (an integer or an array)."""
@@ -162,6 +167,42 @@ class PrefixCounter:
         out[0] = 0  # the dummy prefix of no text
         return np.array(out, np.int64)
 
+    def _steps(self, part: str) -> bytes:
+        """What each sign of a space and part adds to the count, as signed 16-bit integers; part begins with the further spaces of a run."""
+        if (known := self.known_steps.get(part)) is not None:
+            return known
+        if m := self.head.fullmatch(part):
+            counts = self.unit(m[2])[0]
+            found = self._steps(m[1]) + array("h", map(sub, counts[1:], counts)).tobytes()
+        else:
+            counts = self.prefixes(part).tolist() if not part or " " in part or "\n" in part else self.unit(SPACE + part)[0][1:]
+            counts[0] = 1  # the space
+            found = array("h", [1, *map(sub, counts[1:], counts)]).tobytes()
+        if len(part) <= KEPT_SIGNS:
+            if len(self.known_steps) > self.cache_words:
+                self.known_steps = {}
+            self.known_steps[part] = found
+        return found
+
+    def steps(self, text: str) -> bytes:
+        """The differences of prefixes(text), as signed 16-bit integers: those of its parts in turn, each worked out once."""
+        text = text.replace(SPACE, " ")
+        parts = text.split(" ")
+        if "" in parts:
+            parts = [p[1:] for p in re.findall(" +[^ ]*", " " + text)]
+        found = list(map(self.known_steps.get, parts))
+        if None in found:
+            gc_on = gc.isenabled()
+            gc.disable()  # many small objects, no cycles
+            try:
+                found = [self._steps(p) if known is None else known for p, known in zip(parts, found, strict=True)]
+            finally:
+                if gc_on:
+                    gc.enable()
+        joined = b"".join(found)
+        first = array("h", joined[:4])  # the dummy prefix and the first sign
+        return array("h", [sum(first)]).tobytes() + joined[4:] if len(first) == 2 else b""
+
 
 _COUNTERS: dict[str, PrefixCounter] = {}
 
@@ -187,8 +228,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, prefixes: bool
             texts = batch.column(1)
             columns = [batch.column(0), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())]
             if prefixes:
-                tables = [own.prefixes(t or "") for t in texts.to_pylist()]
-                columns += [[int(t[-1]) for t in tables], [packed(t) for t in tables]]
+                steps = [own.steps(t or "") for t in texts.to_pylist()]
+                columns += [[last_count(t) for t in steps], [zlib.compress(t, 1) for t in steps]]
             else:
                 columns.append(own.count(texts))
             yield arrow_batch(schema, columns)
@@ -198,6 +239,22 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, prefixes: bool
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def counted_from_table(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) as count_tokens has them, read off the last prefix of a stored prefix table."""
+    table = stored(count_tokens(docs, model, limit, prefixes=True).select("doc_id", "n_bytes", "prefix_counts"), "prefix-counts")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+    def run(batches):
+        for batch in sliced(batches, column=2, size=1 << 20):
+            yield arrow_batch(schema, [batch.column(0), batch.column(1), [last_count(zlib.decompress(b)) for b in batch.column(2).to_pylist()]])
+
+    return table.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def last_count(steps: bytes) -> int:
+    return int(np.frombuffer(steps, "<i2").sum(dtype=np.int64))
+
+
 def packed(counts: np.ndarray) -> bytes:
     return zlib.compress(np.diff(counts).astype("<i2").tobytes(), 1)
 

@@ -155,3 +155,27 @@ def test_token_counts(docs, rows, none):
         got = token_counts.count_tokens(docs, PIECE, limit=50, prefixes=prefixes)
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got.collect()) == want
     assert token_counts.count_tokens(none, PIECE).count() == 0
+
+
+def test_steps_of_parts_are_those_of_prefixes():
+    own = token_counts.PrefixCounter(PIECE, cache_words=300)
+    texts = ODD + strange(600, 5) + [" " * k + w + " " * j for k in range(0, 40, 3) for j in (0, 1, 17) for w in ("the", "é", " Zq", "", "a\n b", "▁x▁▁", "word,", "z" * 200)]
+    for text in texts * 2:
+        assert own.steps(text) == np.diff(own.prefixes(text)).astype("<i2").tobytes(), text
+
+
+def test_the_query_stores_every_prefix(spark, tmp_path, docs, rows):
+    import glob
+
+    from lattica.functions.storage import shared_dir
+    from lattica.llm import queries
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{shared_dir(spark)}/prefix-counts-*"))
+    got = queries.op5_token_counts(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    (folder,) = set(glob.glob(f"{shared_dir(spark)}/prefix-counts-*")) - before
+    own = token_counts.PrefixCounter(PIECE)
+    table = [(str(r.doc_id), token_counts.unpacked(bytes(r.prefix_counts)).tolist()) for r in spark.read.parquet(folder).collect()]
+    assert sorted(table) == sorted((str(d), own.prefixes(t or "").tolist()) for d, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == sorted((d, t[-1]) for d, t in table)
