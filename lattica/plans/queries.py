@@ -375,7 +375,7 @@ def foliage_attach(spark, d):
 
 @query()
 def log_reach(spark, d):
-    return trees.reached_logs(trees.components(_cells(spark, d), exact=False))
+    return trees.reached_logs(trees.components(_cells(spark, d)))
 
 
 @query(
@@ -387,19 +387,24 @@ def axis_check(spark, d):
     return trees.axis_misfits(trees.components(_cells(spark, d), exact=False))
 
 
+@query()
+def axis_check_exact(spark, d):
+    return trees.axis_misfits(trees.components(_cells(spark, d)))
+
+
 @query()
 def l_shape_cells(spark, d):
-    return trees.l_columns(trees.components(_cells(spark, d), exact=False))
+    return trees.l_columns(trees.components(_cells(spark, d)))
 
 
 @query()
 def square_cells(spark, d):
-    return trees.square_columns(trees.components(_cells(spark, d), exact=False))
+    return trees.square_columns(trees.components(_cells(spark, d)))
 
 
 @query()
 def orphan_split(spark, d):
-    found = trees.components(_cells(spark, d), exact=False).where("material is not null")
+    found = trees.components(_cells(spark, d)).where("material is not null")
     return trees.split_orphans(found).select("tree_id", "node")
 
 

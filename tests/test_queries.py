@@ -52,3 +52,18 @@ def test_components_of_no_edges(spark):
     from lattica.operators.graph import connected_components
 
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["log_reach", "axis_check_exact", "l_shape_cells", "square_cells", "orphan_split"])
+def test_tree_checks_ask_for_exact_trees(monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def components(cells, exact=True):
+        raise Asked(exact)
+
+    monkeypatch.setattr(entry.plans, "_cells", lambda spark, d: None)
+    monkeypatch.setattr(entry.plans.trees, "components", components)
+    with pytest.raises(Asked) as asked:
+        entry.plans.QUERIES[name](None, "")
+    assert asked.value.args == (True,)
