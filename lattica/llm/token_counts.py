@@ -57,6 +57,7 @@ class PrefixCounter:
         self.head = re.compile(r"([^\W\d_]+)([" + re.escape("".join(c for c in ".,!?;:#$%&*|" if c not in joined)) + r"][^\w\s]*)")
         self.heads: dict[str, int] = {}
         self.known_steps: dict[str, bytes] = {}
+        self.row_of, self.row = "", ([0], [""], [False])
 
     def spaces(self, r):
         """Token counts of runs of r spaces (an integer or an array)."""
@@ -83,16 +84,26 @@ class PrefixCounter:
         return known
 
     def unit(self, text: str) -> tuple[list[int], list[bool]]:
-        """For text[:0], text[:1], ...: the token count, and whether the first token is a space alone."""
-        counts, last, bare, whole, pairs = [0], [""], [False], self.whole, self.pairs
-        for j in range(1, len(text) + 1):
-            for i in range(max(0, j - self.longest), j):
+        """For text[:0], text[:1], ...: the token count, and whether the first token is a space alone.
+
+        A prefix's row holds for every text that begins with it, so what the last text shares with this one stays.
+        """
+        same = 0
+        for a, b in zip(self.row_of, text):
+            if a != b:
+                break
+            same += 1
+        counts, last, bare = (column[: same + 1] for column in self.row)
+        whole, pairs, longest = self.whole, self.pairs, self.longest
+        for j in range(same + 1, len(text) + 1):
+            for i in range(j - longest if j > longest else 0, j):
                 token = text[i:j]
                 if j - i == 1 or token in whole and (i == 0 or (self.fits(last[i], token) if (ok := pairs.get((last[i], token))) is None else ok)):  # one always fits: the last needs no test
                     counts.append(counts[i] + (1 if token in whole else len(token.encode())))
                     last.append(token)
                     bare.append(token == SPACE if i == 0 else bare[i])
                     break
+        self.row_of, self.row = text, (counts, last, bare)
         return counts, bare
 
     def _word(self, word: str) -> int:
@@ -172,36 +183,56 @@ class PrefixCounter:
         if (known := self.known_steps.get(part)) is not None:
             return known
         if m := self.head.fullmatch(part):
-            counts = self.unit(m[2])[0]
-            found = self._steps(m[1]) + array("h", map(sub, counts[1:], counts)).tobytes()
+            found = self._steps(m[1]) + _differences(self.unit(m[2])[0])
+        elif "\n" in part and " " not in part:  # a line feed is a token of its own
+            first, *rest = part.split("\n")
+            found = self._steps(first) + b"".join(array("h", [1]).tobytes() + _differences(self.unit(r)[0]) for r in rest)
         else:
-            counts = self.prefixes(part).tolist() if not part or " " in part or "\n" in part else self.unit(SPACE + part)[0][1:]
+            counts = self.prefixes(part).tolist() if not part or " " in part else self.unit(SPACE + part)[0][1:]
             counts[0] = 1  # the space
-            found = array("h", [1, *map(sub, counts[1:], counts)]).tobytes()
-        if len(part) <= KEPT_SIGNS:
-            if len(self.known_steps) > self.cache_words:
-                self.known_steps = {}
-            self.known_steps[part] = found
+            found = array("h", [1]).tobytes() + _differences(counts)
+        self.known_steps[part] = found
         return found
 
     def steps(self, text: str) -> bytes:
-        """The differences of prefixes(text), as signed 16-bit integers: those of its parts in turn, each worked out once."""
+        return self.steps_of([text])[0]
+
+    def steps_of(self, texts: list[str]) -> list[bytes]:
+        """For each text the differences of prefixes(text), as signed 16-bit integers: those of its parts in turn.
+
+        Each part is worked out once, in the order of the alphabet, so that a part goes on from what it shares with the last.
+        """
+        known = self.known_steps
+        if len(known) > self.cache_words:
+            known.clear()
+        parts = [self._parts(text) for text in texts]
+        gc_on = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        try:
+            new = sorted(set().union(*parts).difference(known))
+            for part in new:
+                self._steps(part)
+        finally:
+            if gc_on:
+                gc.enable()
+        out = []
+        for own in parts:
+            joined = b"".join([known[p] for p in own])
+            first = array("h", joined[:4])  # the dummy prefix and the first sign
+            out.append(array("h", [sum(first)]).tobytes() + joined[4:] if len(first) == 2 else b"")
+        for part in new:
+            if len(part) > KEPT_SIGNS:
+                known.pop(part, None)
+        return out
+
+    def _parts(self, text: str) -> list[str]:
         text = text.replace(SPACE, " ")
         parts = text.split(" ")
-        if "" in parts:
-            parts = [p[1:] for p in re.findall(" +[^ ]*", " " + text)]
-        found = list(map(self.known_steps.get, parts))
-        if None in found:
-            gc_on = gc.isenabled()
-            gc.disable()  # many small objects, no cycles
-            try:
-                found = [self._steps(p) if known is None else known for p, known in zip(parts, found, strict=True)]
-            finally:
-                if gc_on:
-                    gc.enable()
-        joined = b"".join(found)
-        first = array("h", joined[:4])  # the dummy prefix and the first sign
-        return array("h", [sum(first)]).tobytes() + joined[4:] if len(first) == 2 else b""
+        return [p[1:] for p in re.findall(" +[^ ]*", " " + text)] if "" in parts else parts
+
+
+def _differences(counts: list[int]) -> bytes:
+    return array("h", map(sub, counts[1:], counts)).tobytes()
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -228,7 +259,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, prefixes: bool
             texts = batch.column(1)
             columns = [batch.column(0), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())]
             if prefixes:
-                steps = [own.steps(t or "") for t in texts.to_pylist()]
+                steps = own.steps_of([t or "" for t in texts.to_pylist()])
                 columns += [[last_count(t) for t in steps], [zlib.compress(t, 1) for t in steps]]
             else:
                 columns.append(own.count(texts))
