@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import json
+import operator
 import os
 import posixpath
 import re
@@ -13,7 +14,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import new_folder, stored  # noqa: F401
@@ -31,6 +32,45 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from df's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Values of a block of running().
+BLOCK = 256
+
+
+def running(values: Column, combine=operator.add, first: int = 0) -> Column:
+    """What has been combined up to each of an array's integers; by blocks, as each step of a fold copies what it has so far."""
+
+    def fold(block: Column, begin: Column) -> Column:
+        def step(state, x):
+            return let(combine(state["at"], x), lambda at: F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out")))
+
+        return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+
+    def joined(parts: Column) -> Column:
+        ends = fold(F.transform(parts, lambda b: F.aggregate(b, F.lit(first), lambda x, y: combine(x, y))), F.lit(first))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda b, k: fold(b, F.coalesce(F.get(e, k - 1), F.lit(first))))))
+
+    return let(values, lambda v: F.when(F.size(v) > BLOCK, let(blocks(v), joined)).otherwise(fold(v, F.lit(first))))
+
+
 # --- files that tasks write -------------------------------------------------------------------
 
 

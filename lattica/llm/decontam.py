@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_as
+from .common import columns_as, let
 
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
 #: For shares that floating point does not hold exactly.
@@ -72,11 +72,6 @@ def _hashes(rows: DataFrame, masks: list[str]) -> DataFrame:
     return spread.drop("spot").withColumn("hash", hash_of).where("hash is not null")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _best_span(theirs: Column, ours: Column, length: Column, begin: Column, end: Column, share: float) -> Column:
     """(agree, compared) of the span with most equal words that holds begin to end and has that share; else null or nulls.
 
@@ -92,20 +87,20 @@ def _best_span(theirs: Column, ours: Column, length: Column, begin: Column, end:
 
         def paired(both: Column) -> Column:
             top = F.array_max(F.transform(both["ends"], score))
-            return _let(F.struct(_let(top, lambda t: F.filter(both["begins"], lambda p: score(p) <= t + EPSILON)).alias("begins"), both["ends"].alias("ends")), longest)
+            return let(F.struct(let(top, lambda t: F.filter(both["begins"], lambda p: score(p) <= t + EPSILON)).alias("begins"), both["ends"].alias("ends")), longest)
 
         def longest(both: Column) -> Column:
             low = F.array_min(F.transform(both["begins"], score))
-            useful = _let(low, lambda v: F.filter(both["ends"], lambda p: score(p) >= v - EPSILON))
+            useful = let(low, lambda v: F.filter(both["ends"], lambda p: score(p) >= v - EPSILON))
             first = lambda r: F.get(F.filter(both["begins"], lambda p: score(p) <= score(r) + EPSILON), 0)
-            measured = lambda r: _let(first(r), lambda b: F.struct((r["at"] - b["at"] - r["bad"] + b["bad"]).alias("agree"), (r["at"] - b["at"]).alias("compared")))
+            measured = lambda r: let(first(r), lambda b: F.struct((r["at"] - b["at"] - r["bad"] + b["bad"]).alias("agree"), (r["at"] - b["at"]).alias("compared")))
             return F.array_max(F.transform(useful, measured))
 
         agree = length - F.size(bounds) + 2
         whole = F.struct(agree.alias("agree"), length.alias("compared"))
-        return F.when(agree >= share * length - EPSILON, whole).otherwise(_let(F.struct(begins.alias("begins"), ends.alias("ends")), paired))
+        return F.when(agree >= share * length - EPSILON, whole).otherwise(let(F.struct(begins.alias("begins"), ends.alias("ends")), paired))
 
-    return _let(F.concat(F.array(F.lit(-1)), differs, F.array(length)), spans)
+    return let(F.concat(F.array(F.lit(-1)), differs, F.array(length)), spans)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
@@ -158,9 +153,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds())
         best = _best_span(theirs, ours, length, start - low, mask_end - low, seeds.share)
     else:
         agree = F.size(F.filter(F.zip_with(theirs, ours, lambda a, b: a == b), lambda same: same))
-        best = _let(agree, lambda n: F.when(n >= seeds.share * length - EPSILON, F.struct(n.alias("agree"), length.alias("compared"))))
+        best = let(agree, lambda n: F.when(n >= seeds.share * length - EPSILON, F.struct(n.alias("agree"), length.alias("compared"))))
     needed = F.when(size < seeds.least, size - F.floor((1 - seeds.share) * size + EPSILON)).otherwise(seeds.least)
-    best = F.when(~F.coalesce(follows, F.lit(False)), _let(best, lambda b: F.when(b["agree"] >= needed, b)))
+    best = F.when(~F.coalesce(follows, F.lit(False)), let(best, lambda b: F.when(b["agree"] >= needed, b)))
     lines = hits.select("doc", "item", "shift", best.alias("best")).groupBy("doc", "item", "shift").agg(F.count("*" if seeds.around is None else "best").alias("hits"), F.max("best").alias("best"))
     found = lines.where("best is not null").groupBy("doc", "item").agg(F.sum("hits").alias("hits"), F.max("best").alias("best"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "hits", "best.agree", "best.compared")

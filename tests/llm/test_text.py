@@ -292,3 +292,36 @@ def test_toxicity(spark):
     empty = toxicity.train(docs, marks.where("false"))
     assert not any(r.toxic for r in toxicity.score(docs, empty).collect())
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_redaction_in_long_texts_and_beside_columns_of_any_name(spark):
+    """Spans across the pieces that texts are cut into, marks of the scan's own in a text, clashing columns, repeated rows."""
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    long = " ".join(rng.choice([f"token={key(rng.randint(6, 60))}", prose(rng, 5), "😀é" * rng.randint(1, 9), f"\x01\x02{key(30)}\x01", key(4500)]) for _ in range(60))
+    texts = [None, "", "x", "\x01", f"\x01token=abcdef\x02{key(24)}\x01", long, long]
+    df = spark.createDataFrame([(k, t, "mine", 1, "w") for k, t in enumerate(texts)], "doc_id long, text string, spans string, SPANS_ int, _spans string")
+    got = {r.doc_id: r for r in secrets.redacted(df).collect()}
+    assert secrets.redacted(df).columns == df.columns and secrets.redacted(df.where("false")).count() == 0
+    for k, text in enumerate(texts):
+        assert (got[k].spans, got[k].SPANS_, got[k]._spans) == ("mine", 1, "w")
+        keep, last, out = plain_spans(text, secrets.Limits())[2], 0, ""
+        for s, e in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in keep.split(",") if x)):
+            if s >= last:
+                out += text[last:s] + "[secret]"
+            last = max(last, e)
+        assert got[k].text == (None if text is None else out + text[last:])
+    scans = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    assert scans == {k: plain_spans(t, secrets.Limits())[2] for k, t in enumerate(texts)}
+
+
+def test_running_sums_and_maxima(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.llm.common import running
+
+    rng = random.Random(22)
+    rows = [([rng.randint(-5, 9) for _ in range(n)],) for n in (1, 2, 255, 256, 257, 1000, 5000)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for r in df.select("v", running(F.col("v")).alias("s"), running(F.col("v"), F.greatest).alias("m")).collect():
+        assert r.s == list(itertools.accumulate(r.v)) and r.m == list(itertools.accumulate([0, *r.v], max))[1:]
