@@ -43,6 +43,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a key from which it is dealt over several joins, if it also has over a thousandth of all rows; over how many.
+HOT_ROWS, SHARES = 100_000, 64
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined to facts, which has a row per key and in column count how many rows have it; count does not stay.
+
+    Rows of hot keys are dealt over SHARES parts by a hash of the row, and those keys' facts are repeated for each. Hot keys
+    have over a thousandth of all rows each, so they are fewer than a thousand and may be broadcast.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.where(F.col(count) > max(total // 1000, hot_rows))
+    if hot.isEmpty():
+        return rows.join(facts.drop(count), key, how)
+    share, marked = fresh(rows.join(facts.limit(0), key), "share", "marked")
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SHARES)).cast("int")
+    rows = rows.join(F.broadcast(hot.select(key, F.lit(True).alias(marked))), key, "left").withColumn(share, F.when(F.col(marked), own).otherwise(0)).drop(marked)
+    parts = F.when(F.col(count) > max(total // 1000, hot_rows), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(facts.withColumn(share, F.explode(parts)).drop(count), [key, share], how).drop(share)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -20,9 +20,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from .common import arrow_batch, columns_as, sliced, stored
+from .common import HOT_ROWS, arrow_batch, columns_as, dealt_join, fresh, sliced, stored
 
 DISTANCE = 4
 SHINGLE = 4
@@ -184,41 +185,84 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return found.where("b is not null").unionByName(balls.join(stars, "c").where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
 
 
+def classes(docs: DataFrame, crowded: int = CROWDED, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row; root names the class of its fingerprint, component_id as below."""
+    rows = stored(fingerprints(docs), "simhash-fp")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    roots = connected_components(links(distinct, crowded), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    whole = distinct.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    facts = stored(whole.join(least, "root").select("fp", "n", "root", "component_id"), "simhash-classes")
+    return dealt_join(rows, facts, "fp", "n", hot_rows=hot_rows).select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reached over links of at most 4 bits.
 
     docs: doc_id (long) and text; other columns are ignored. Null or empty text: fingerprint 0, linked like any other.
     Repeated rows: a row each. Null doc_id: not a candidate for component_id, which is null only where all are.
     """
-    rows = stored(fingerprints(docs), "simhash-fp")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct, crowded), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    whole = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = whole.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return classes(docs, crowded).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def representatives(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id is their component's component_id; one of rows that share it.
+def _beside_prints(docs: DataFrame, fp: str) -> DataFrame:
+    """docs with their fingerprints in a column of that name."""
+    plain = [f"k{k}" for k in range(len(docs.columns))]
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in sliced(batches, column=place):
+            texts = batch.column(place).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            prints = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*plain, "fp"])
 
-    Rows with a null doc_id stay only where their whole component has no doc_id, one for each text.
+    schema = T.StructType([T.StructField(k, f.dataType) for k, f in zip(plain, docs.schema.fields, strict=True)] + [T.StructField("fp", T.LongType())])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns, fp)
+
+
+def _least(docs: DataFrame):
+    """An order of rows: by text, then by a hash of what may be hashed."""
+    plain = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.struct(F.col("text").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("hash"))
+
+
+def deduplicated(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """One row of docs, with its columns, for each class of near-duplicates: that whose doc_id is the class's component_id.
+
+    Rows that share a doc_id but are in different classes stay, each for its own class; of those in one class, that with the
+    least text stays (then the least hash of its columns). A class without any doc_id keeps one row likewise. Null or empty
+    texts are a class of their own (fingerprint 0). An empty table gives no rows; columns may have any names.
     """
-    kept = near_duplicates(docs, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = kept.where("doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    own, fp, root = fresh(docs, "own", "fp", "root")
+    found = classes(docs, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(found.select(F.col("doc_id").alias(own), F.col("fp").alias(fp), F.col("root").alias(root)).distinct(), "simhash-kept")
     key = F.col("doc_id").cast("long")
-    out = docs.join(named, key == F.col("kept_id"), "left_semi")
-    again = docs.groupBy(key.alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null")
-    if not again.isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    bare = kept.where("doc_id is null").select("fp").distinct()
-    if not bare.isEmpty():
-        alone = docs.where("doc_id is null").dropDuplicates(["text"])
-        marked = alone.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-        prints = fingerprints(marked.withColumn("doc_id", F.col("_row"))).join(bare, "fp", "left_semi").select(F.col("doc_id").alias("_row")).distinct()
-        out = out.unionByName(marked.join(prints, "_row", "left_semi").drop("_row"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = docs.groupBy(key.alias(own)).agg(F.count("*").alias("n"))
+    several = stored(ids.where(F.col(own).isNull() | (F.col("n") > 1)).select(own), "simhash-several")
+    if several.isEmpty():
+        return docs.join(kept.select(own).distinct(), key == F.col(own), "left_semi")
+    single = kept.select(own).where(F.col(own).isNotNull()).distinct().join(several, own, "left_anti")
+    out = docs.join(single, key == F.col(own), "left_semi")
+    unsure = kept.join(several.withColumnRenamed(own, "same"), F.col(own).eqNullSafe(F.col("same")), "left_semi")
+    rows = docs.join(several, key.eqNullSafe(F.col(own)), "left_semi")
+    rows = _beside_prints(rows, fp).withColumn(own, key).join(unsure.withColumnRenamed(own, "same"), [fp], "inner").where(F.col(own).eqNullSafe(F.col("same")))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    best = rows.groupBy(own, root).agg(F.min_by(F.struct(*[c.alias(f"k{k}") for k, c in enumerate(every)]), _least(docs)).alias("best"))
+    return out.unionByName(best.select(*[F.col(f"best.k{k}").alias(c) for k, c in enumerate(docs.columns)])).select(*every)
+
+
+def representatives(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """For uses in which doc_id is a key: of deduplicated rows that share a doc_id only that with the least text.
+
+    Where rows of different texts share a doc_id, this drops all but one of them; deduplicated() does not. Rows without a
+    doc_id all stay.
+    """
+    rows = deduplicated(docs, crowded)
+    own = fresh(docs, "own")[0]
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    named = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.min_by(F.struct(*[c.alias(f"k{k}") for k, c in enumerate(every)]), _least(docs)).alias("best"))
+    return named.select(*[F.col(f"best.k{k}").alias(c) for k, c in enumerate(docs.columns)]).unionByName(rows.where("doc_id is null").select(*every))

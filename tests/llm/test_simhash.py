@@ -78,3 +78,25 @@ def test_representatives(docs, rows):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(want)
     assert ids.count(None) == len({t for (d, t), o in zip(rows, owners) if d is None and o is None})
+
+
+def test_representatives_of_shared_ids_and_beside_columns_of_any_name(spark):
+    """Rows under one id in several classes, repeats, null ids, and columns named like the operator's own."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey"
+    rows = [(3, a), (3, b), (3, b), (5, b), (5, c), (None, a), (None, "alone in its class so far"), (None, "alone in its class so far"), (9, None), (10, ""), (None, None)]
+    df = spark.createDataFrame([(d, t, "k", 1, 2, "r", {"m": 1}, 5) for d, t in rows], "doc_id long, text string, kept_id string, again int, _row int, own string, root map<string,int>, `fp` int").repartition(3)
+    got = simhash.deduplicated(df)
+    assert got.columns == df.columns
+    found = sorted((str(r.doc_id), r.text) for r in got.collect())
+    # (3, a) and (3, b) are first of their classes, (5, c) of its own; 9 leads the texts without words.
+    assert found == sorted([("3", a), ("3", b), ("5", c), ("None", "alone in its class so far"), ("9", None)], key=lambda x: (x[0], x[1] or ""))
+    assert {(r.kept_id, r.again, r._row, r.own, tuple(r.root.items()), r.fp) for r in got.collect()} == {("k", 1, 2, "r", (("m", 1),), 5)}
+    assert simhash.deduplicated(df.where("false")).count() == 0
+    assert sorted(r.doc_id for r in simhash.deduplicated(df.where("doc_id in (3, 5) and text <> 'x'").dropDuplicates(["doc_id"])).collect())[0] == 3
+
+
+def test_widely_copied_texts_are_dealt_out(spark):
+    texts = ["the same text in many rows"] * 500 + [f"text number {k} of its own {k * k}" for k in range(40)] + [None] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = sorted((r.doc_id, r.fp, r.root, r.component_id) for r in simhash.classes(df).collect())
+    assert sorted((r.doc_id, r.fp, r.root, r.component_id) for r in simhash.classes(df, hot_rows=10).collect()) == want and len(want) == 570
