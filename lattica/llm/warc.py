@@ -9,21 +9,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 import uuid
 import zlib
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, columns_as, new_folder, open_input, sliced, stored, write_bytes
+from .common import HOT_ROWS, arrow_batch, columns_as, dealt_join, new_folder, open_input, sliced, stored, write_bytes
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Uncompressed bytes after which a file ends.
 FILE_BYTES = 64 << 20
-#: Bytes within which a record's header must end.
-HEAD_BYTES = 1 << 16
+#: Bytes of a member's content up to which it is held in memory; beyond, in a file of the task's own.
+HELD_BYTES = 32 << 20
 _STEP = 1 << 18
 _ANY = b"WARC/1."
 
@@ -64,20 +66,21 @@ def member(plain: bytes) -> bytes:
 _FILES = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Writes a record per row and returns the files: path, records, bytes.
 
     pages: page_id (long), url, html; other columns are ignored. Null html: an empty payload. Of rows whose payloads are
     equal and at least min_revisit_bytes long, those with the smallest page_id are responses, the others revisit it; rows
     that repeat the smallest page_id are responses too. Null page_id: a revisit if an equal payload has a page_id, else
-    a response. An empty table writes no file. Null url: about:blank.
+    a response. An empty table writes no file. Null url: about:blank. Urls may have any length. Copies of a payload that many
+    rows have are dealt over tasks.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     rows = columns_as(pages, page="page_id", url="url", html="html").select(F.col("page").cast("long").alias("page"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    least = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.min("page").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null").select("sha", "least")
-    rows = rows.join(least, "sha", "left").select("page", "payload", "url", "least")
+    least = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.min("page").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
+    rows = dealt_join(rows, stored(least, "warc-least"), "sha", "n", "left", hot_rows).select("page", "payload", "url", "least")
 
     def write(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -123,11 +126,14 @@ class _Bytes:
 class _File:
     """A file, read in steps."""
 
-    def __init__(self, file):
-        self.file, self.size = file, file.size()
+    def __init__(self, file, size: int | None = None):
+        self.file, self.size = file, file.size() if size is None else size
 
     def read(self, at: int, n: int) -> bytes:
-        return self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""
+        if at >= self.size:
+            return b""
+        self.file.seek(at)
+        return self.file.read(max(0, min(n, self.size - at)))
 
     def find(self, what: bytes, at: int) -> int:
         while at < self.size:
@@ -138,15 +144,36 @@ class _File:
         return -1
 
 
-def _record_at(source, at: int) -> tuple[dict, bytes, int]:
-    """Header, payload and end of the record at a place, or Damaged."""
-    head = source.read(at, HEAD_BYTES)
-    if not head.startswith(_ANY):
+@dataclass
+class Payload:
+    length: int
+    digest: str
+    data: bytes | None  # unless payloads are left out
+
+
+def _payload(source, begin: int, n: int, http: bool, keep: bool) -> Payload:
+    """A block's payload, what follows its HTTP header; read in steps unless it is to be kept."""
+    end = begin + n
+    if http:
+        cut = source.find(b"\r\n\r\n", begin)
+        begin = cut + 4 if begin <= cut and cut + 4 <= end else end
+    own, parts = hashlib.sha1(), []
+    for at in range(begin, end, _STEP):
+        part = source.read(at, min(_STEP, end - at))
+        own.update(part)
+        if keep:
+            parts.append(part)
+    return Payload(end - begin, base64.b32encode(own.digest()).decode(), b"".join(parts) if keep else None)
+
+
+def _record_at(source, at: int, keep: bool = True) -> tuple[dict, Payload, int]:
+    """Header, payload and end of the record at a place, or Damaged. A header may have any length."""
+    if source.read(at, len(_ANY)) != _ANY:
         raise Damaged("no version line")
-    if (cut := head.find(b"\r\n\r\n")) < 0:
+    if (cut := source.find(b"\r\n\r\n", at)) < 0:
         raise Damaged("header does not end")
     fields = {}
-    for line in head[:cut].split(b"\r\n")[1:]:
+    for line in source.read(at, cut - at).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
@@ -156,16 +183,14 @@ def _record_at(source, at: int) -> tuple[dict, bytes, int]:
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")
-    begin, n = at + cut + 4, int(length)
+    begin, n = cut + 4, int(length)
     if begin + n + 4 > source.size:
         raise Damaged("record is cut off")
     if source.read(begin + n, 4) != b"\r\n\r\n":
         raise Damaged("record does not end at its length")
-    payload = source.read(begin, n)
-    if fields.get("content-type", "").startswith("application/http"):
-        payload = payload.partition(b"\r\n\r\n")[2]
+    payload = _payload(source, begin, n, fields.get("content-type", "").startswith("application/http"), keep)
     said = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response" and said.startswith("sha1:") and said[5:] != digest(payload):
+    if fields.get("warc-type") == "response" and said.startswith("sha1:") and said[5:] != payload.digest:
         raise Damaged("payload digest differs")
     return fields, payload, begin + n + 4
 
@@ -176,57 +201,70 @@ def _next_line(source, at: int) -> int:
         if at == 0 or source.read(at - 1, 1) == b"\n":
             return at
         try:
-            _record_at(source, at)
+            _record_at(source, at, False)
             return at
         except Damaged:
             at += 1
     return source.size
 
 
-def _inflate(source, at: int, most: int | None = None) -> tuple[bytes, int]:
-    """A member's content and end; only the first bytes of the content if most is given."""
-    press, parts, got = zlib.decompressobj(31), [], at
+def _inflated(source, at: int):
+    """A member's content in steps; each with the place up to which the source was read for it, the last with the member's end."""
+    press, got = zlib.decompressobj(31), at
     try:
         while not press.eof:
-            chunk = source.read(got, 4096 if most else _STEP)
+            chunk = source.read(got, _STEP)
             if not chunk:
                 raise Damaged("member is cut off")
             got += len(chunk)
-            parts.append(press.decompress(chunk, most or 0))
-            if most and (len(parts[0]) >= most or len(parts) > 4):
-                return b"".join(parts), got
+            while chunk and not press.eof:
+                part = press.decompress(chunk, 4 * _STEP)
+                chunk = press.unconsumed_tail
+                yield part, got - len(press.unused_data)
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
-    return b"".join(parts), got - len(press.unused_data)
+
+
+def _begins_record(source, at: int) -> bool:
+    """Whether a member begins here whose content begins a record."""
+    press, head = zlib.decompressobj(31), b""
+    try:
+        for k in range(4):
+            head += press.decompress(source.read(at + 4096 * k, 4096), 16)
+            if len(head) >= len(_ANY) or press.eof:
+                break
+    except zlib.error:
+        return False
+    return head.startswith(_ANY)
 
 
 def _next_member(source, at: int) -> int:
     """The next place where a member begins whose content begins a record, or the end."""
     while (at := source.find(b"\x1f\x8b\x08", at)) >= 0:
-        try:
-            if _inflate(source, at, 16)[0].startswith(_ANY):
-                return at
-        except Damaged:
-            pass
+        if _begins_record(source, at):
+            return at
         at += 1
     return source.size
 
 
-def salvage(source, compressed: bool):
+def salvage(source, compressed: bool, payloads: bool = True):
     """Yields (begin, end, header, payload, "") for each record and (begin, end, None, None, reason) for each gap.
 
-    Places are bytes of the file; for what lies inside a member, the member's.
+    Places are bytes of the file; for what lies inside a member, the member's. Large members are inflated into a file.
     """
     at = 0
     while at < source.size:
         try:
             if not compressed:
-                fields, payload, end = _record_at(source, at)
+                fields, payload, end = _record_at(source, at, payloads)
                 yield at, end, fields, payload, ""
             else:
-                data, end = _inflate(source, at)
-                for _, _, fields, payload, why in salvage(_Bytes(data), False) if data else [(0, 0, None, None, "empty member")]:
-                    yield at, end, fields, payload, why
+                with tempfile.SpooledTemporaryFile(HELD_BYTES) as content:
+                    for part, end in _inflated(source, at):
+                        content.write(part)
+                    size = content.tell()
+                    for _, _, fields, payload, why in salvage(_File(content, size), False, payloads) if size else [(0, 0, None, None, "empty member")]:
+                        yield at, end, fields, payload, why
         except Damaged as e:
             end = (_next_member if compressed else _next_line)(source, at + 1)
             yield at, end, None, None, str(e)
@@ -253,15 +291,15 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 with open_input(path) as file:
                     rows, held = [], 0
-                    for begin, end, fields, payload, why in salvage(_File(file), path.endswith(".gz")):
+                    for begin, end, fields, payload, why in salvage(_File(file), path.endswith(".gz"), payloads):
                         if fields is None:
                             row = [path, begin, end, why, *[None] * 6]
                         elif fields.get("warc-type") == "revisit":
                             row = [path, begin, end, None, number(fields.get("x-page-id")), "revisit", number(fields.get("x-payload-length")), fields.get("warc-payload-digest", "").removeprefix("sha1:"), number(fields.get("x-refers-to-page-id")), None]
                         else:
-                            row = [path, begin, end, None, number(fields.get("x-page-id")), fields.get("warc-type"), len(payload), digest(payload), None, payload]
+                            row = [path, begin, end, None, number(fields.get("x-page-id")), fields.get("warc-type"), payload.length, payload.digest, None, payload.data]
                         rows.append(row[: len(schema)])
-                        held += len(payload or b"")
+                        held += len(payload.data or b"") if payload else 0
                         if held > 8 << 20 or len(rows) >= 4096:
                             yield arrow_batch(schema, list(zip(*rows, strict=True)))
                             rows, held = [], 0

@@ -119,3 +119,36 @@ def test_wav_is_lossless():
     for data in (b"", b"a", bytes(range(256)), b"\x00" * 64):
         back = media.samples(media.to_wav(data))
         assert back[: len(data)] == data and len(back) % 64 == 0 and len(back) >= 64 and not any(back[len(data) :])
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_headers_of_any_length(spark, compressed):
+    """Urls of a megabyte, and one whose encoded form is longer than any step of reading, between plain records."""
+    urls = ["u", "http://x/" + "é" * 30_000, "http://x/" + "a" * (1 << 20), None, "http://x/ \r\n\r\n" + "漢" * 100_000]
+    rows = [(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = warc.read_archives(files)
+    assert warc.quarantine(got).count() == 0
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got.collect()) == [(k, h) for k, _, h in rows]
+    plain = b"".join(warc.member(warc.record(k, u, h.encode())) if compressed else warc.record(k, u, h.encode()) for k, u, h in rows)
+    path = f"{new_folder(spark, 'long')}/long.warc" + ".gz" * compressed
+    write_bytes(path, [plain])
+    for payloads in (True, False):
+        found = warc.read_archives(spark.createDataFrame([(path,)], "path string"), payloads).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.gap) for r in found) == [(k, len(h), None) for k, _, h in rows]
+
+
+def test_large_members_and_payloads_that_many_pages_have(spark, monkeypatch):
+    """A member larger than what is held in memory, damage behind it, and copies dealt over tasks."""
+    monkeypatch.setattr(warc, "HELD_BYTES", 1000)
+    rng = np.random.default_rng(1)
+    blocks = [warc.record(k, "u", rng.integers(32, 120, 700_000, dtype=np.uint8).tobytes()) for k in range(3)]
+    data = b"".join(map(warc.member, blocks))
+    found = list(warc.salvage(warc._Bytes(data), True))
+    assert [f["x-page-id"] for *_, f, _, _ in found] == ["0", "1", "2"] and all(p.length == 700_000 == len(p.data) for _, _, _, p, _ in found)
+    both = warc.member(blocks[0] + blocks[1])
+    assert [f["x-page-id"] for *_, f, _, _ in warc.salvage(warc._Bytes(both), True, False)] == ["0", "1"]
+    rows = [(k, "u", "the same" if k % 3 else f"own {k}") for k in range(200)] + [(200, "u", None), (201, "u", ""), (None, "u", "the same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    kinds = [sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.read_archives(warc.write_archives(pages, hot_rows=n)).collect()) for n in (5, 1 << 30)]
+    assert kinds[0] == kinds[1] and len(kinds[0]) == len(rows) and ("4", "revisit", "1") in kinds[0]
