@@ -28,6 +28,10 @@ MAGIC = b"LWMX0001"
 BLOCK_BITS = 1 << 16
 #: A shard ends with the first document that brings it to so many ids.
 SHARD_TOKENS = 1 << 20
+#: Signs of a text that order rows of one doc_id.
+PREFIX = 16
+#: Occurrences found at a time.
+FOUND_ROWS = 1 << 16
 
 
 def build(ids: np.ndarray, width: int, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -125,15 +129,37 @@ class WaveletFile:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _select(self, plane: int, bit: int, ranks: np.ndarray) -> np.ndarray:
+        """Places in a plane of its zeros or ones number ranks, which rise: the directory names the block of each."""
+        before = self._directory(plane)[1].astype(np.int64)
+        if not bit:
+            before = np.arange(self.blocks, dtype=np.int64) * self.head["block_bits"] - before
+        block = np.searchsorted(before, ranks, side="right") - 1
+        out, begins = np.empty(len(ranks), np.int64), np.flatnonzero(np.diff(block, prepend=-1))
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(ranks)], strict=True):
+            k = int(block[a])
+            at = k * self.head["block_bits"]
+            bits = np.unpackbits(self._block(plane, k), count=min(self.head["block_bits"], self.n - at), bitorder="little")
+            out[a:b] = np.flatnonzero(bits == bit)[ranks[a:b] - before[k]] + at
+        return out
+
+    def places(self, token: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The places of a token's occurrences first to last (not included), counted from 0: down the planes once, and up once."""
+        lo, hi = self._range(token, self.n) if token >> self.width == 0 else (0, 0)
+        at = np.arange(lo + first, hi if last is None else min(hi, lo + last))
+        for plane in range(self.width - 1, -1, -1):
+            if not len(at):
+                break
+            bit = token >> (self.width - 1 - plane) & 1
+            at = self._select(plane, bit, at - self.zeros[plane] if bit else at)
+        return at
+
     def select(self, token: int, k: int) -> int:
         """The place of a token's occurrence k, counted from 0."""
-        if not 0 <= k < self.count(token):
+        found = self.places(token, k, k + 1) if k >= 0 else ()
+        if not len(found):
             raise IndexError(k)
-        lo, hi = 0, self.n  # the first place with k + 1 occurrences up to it
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(token, mid + 1) > k else (mid + 1, hi)
-        return lo
+        return int(found[0])
 
     def decode(self) -> np.ndarray:
         """All ids, plane by plane from the least significant."""
@@ -156,7 +182,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     """Encodes whole texts, adds end_id to each, and writes shards in ascending doc_id order; returns their manifest.
 
     docs: doc_id (long) and text; other columns are ignored. Null text: empty, so the end id alone. Null doc_id: before
-    all others. Rows that share a doc_id each keep their ids, ordered by text. An empty table has no shards.
+    all others. Rows that share a doc_id each keep their ids, ordered by their first PREFIX signs, then by a hash of the text,
+    so that many of them are dealt over shards. An empty table has no shards.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "wavelet")
@@ -195,7 +222,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             yield flush()
 
     rows = columns_as(docs, id="doc_id", text="text").withColumn("id", F.col("id").cast("long"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    order = ["id", F.substring("text", 1, PREFIX), F.xxhash64("text"), F.monotonically_increasing_id()]
+    rows = rows.select("id", "text", *[F.col(c).alias(f"k{k}") if k == 0 else c.alias(f"k{k}") for k, c in enumerate(order)])
+    rows = rows.repartitionByRange(n, "k0", "k1", "k2", "k3").sortWithinPartitions("k0", "k1", "k2", "k3").select("id", "text")
     return stored(rows.mapInArrow(write, "part int, seq int, path string, docs long, tokens long"), "wavelet-manifest")
 
 
@@ -232,18 +261,26 @@ def read_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+_FOUND = pa.schema([("path", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64())])
+
+
 def find_token(manifest: DataFrame, token: int) -> DataFrame:
-    """Every occurrence of a token by select on the compressed planes: path, doc_id, place in its document."""
+    """Every occurrence of a token by select on the compressed planes: path, doc_id, place in its document.
+
+    Null doc_ids are null here too; rows that share one are found one by one. A token that no document has, or an empty
+    manifest, gives no rows. Many occurrences are found together, batch by batch.
+    """
 
     def find(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with open_input(path) as file:
                     shard = WaveletFile(file)
-                    for k in range(shard.count(token)):
-                        at = shard.select(token, k)
-                        doc = int(np.searchsorted(shard.starts, at, side="right")) - 1
-                        name = int(shard.doc_ids[doc])
-                        yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "doc_id": pa.array([None if name == _NULL_ID else name], pa.int64()), "place": pa.array([at - int(shard.starts[doc])], pa.int64())})
+                    for first in range(0, shard.count(token), FOUND_ROWS):
+                        at = shard.places(token, first, first + FOUND_ROWS)
+                        doc = np.searchsorted(shard.starts, at, side="right") - 1
+                        names = shard.doc_ids[doc]
+                        yield arrow_batch(_FOUND, [[path] * len(at), pa.array(names, mask=names == _NULL_ID), at - shard.starts[doc]])
 
-    return manifest.select("path").mapInArrow(find, "path string, doc_id long, place long")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path").repartition(n).mapInArrow(find, "path string, doc_id long, place long")

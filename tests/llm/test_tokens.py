@@ -179,3 +179,44 @@ def test_the_query_stores_every_prefix(spark, tmp_path, docs, rows):
     table = [(str(r.doc_id), token_counts.unpacked(bytes(r.prefix_counts)).tolist()) for r in spark.read.parquet(folder).collect()]
     assert sorted(table) == sorted((str(d), own.prefixes(t or "").tolist()) for d, t in rows)
     assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == sorted((d, t[-1]) for d, t in table)
+
+
+def test_every_occurrence_is_found_together():
+    rng = np.random.default_rng(3)
+    ids = rng.choice(np.array([0, 1, 5, 500, 49_407], np.uint16), 300_000, p=[0.1, 0.5, 0.2, 0.1999, 0.0001])
+    shard = wavelet.WaveletFile(io.BytesIO(wavelet.build(ids, 16, np.array([3]), np.array([len(ids)]))))
+    for token in (0, 1, 5, 500, 49_407, 7, 1 << 17):
+        places = np.flatnonzero(ids == token)
+        assert (shard.places(token) == places).all() and len(shard.places(token)) == len(places)
+        assert (shard.places(token, 3, 70_003) == places[3:70_003]).all()
+
+
+def test_rows_of_one_id_lie_in_several_shards(spark):
+    texts = [f"text {k % 40} of {k}" for k in range(400)] + [None, "", "same", "same"]
+    df = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    manifest = wavelet.write_shards(df, WORD, end_id=1, shard_tokens=200)
+    assert manifest.select("part").distinct().count() == 4
+    library, got = Tokenizer.from_file(WORD), wavelet.read_shards(manifest).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(d), [*library.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in df.collect())
+    at = sorted((r.start, r.n_tokens, r.doc_id is not None) for r in got)
+    assert [a for a, *_ in at] == [sum(n for _, n, _ in at[:k]) for k in range(len(at))] and [known for *_, known in at] == sorted(known for *_, known in at)
+    where = wavelet.find_token(manifest, 1).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in where} == {7: 202, None: 202}
+
+
+@pytest.mark.parametrize("window", [1, 7, 64, 96])
+def test_windows_below_a_step(docs, rows, window):
+    library = Tokenizer.from_file(WORD)
+    small = docs.where("doc_id <> 49")
+    got, sequences = defaultdict(int), defaultdict(list)
+    for r in packing.pack(small, WORD, end_id=2, window=window).collect():
+        got[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    want = defaultdict(int)
+    for d, t in rows:
+        if d is not None and d != 49:
+            want[d] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    assert got == want
+    for found in sequences.values():
+        ends = np.cumsum([0, *[n for _, n in sorted(found)]])
+        assert [a for a, _ in sorted(found)] == ends[:-1].tolist() and ends[-1] <= window
