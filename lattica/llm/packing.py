@@ -28,7 +28,7 @@ class Costs:
     sequence: int = 64
     sentence_cut: int = 8
     word_cut: int = 32
-    #: Where a sentence is longer, cuts inside it may be made at every such step.
+    #: Where a sentence is longer, cuts inside it may be made at every such step (or at every window, if that is less).
     step: int = 96
 
 
@@ -80,12 +80,12 @@ class Stream:
     def cut(self, last: bool) -> tuple[np.ndarray, list[int]]:
         ids = np.concatenate(self.ids)
         ends = np.cumsum([d[3] for d in self.docs])
-        penalty = np.zeros(len(ids) + 1, np.int32)
+        penalty, step = np.zeros(len(ids) + 1, np.int32), min(self.costs.step, self.window)
         seen = np.flatnonzero(self.ends_sentence[ids]) + 1
         penalty[seen] = self.costs.sentence_cut
         solid = np.unique(np.concatenate(([0], seen, ends)))
         gaps = np.diff(solid)
-        inner = [np.arange(a + self.costs.step, a + g, self.costs.step) for a, g in zip(solid[:-1], gaps, strict=True) if g > self.costs.step]
+        inner = [np.arange(a + step, a + g, step) for a, g in zip(solid[:-1], gaps, strict=True) if g > step]
         if last:  # what is left at the end may be cut anywhere
             inner.append(np.arange(max(0, len(ids) - self.window), len(ids)))
         places = np.unique(np.concatenate([solid, *inner]))
@@ -127,8 +127,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, costs
     docs: doc_id (long) and text; other columns are ignored. Documents keep their order within a partition of docs, and
     no row is moved between partitions. A partition's stream is packed chunk by chunk (of so many ids), the last windows
     of a chunk being packed anew with the next one. Null text: empty, so end_id alone. Null doc_id and repeated doc_ids:
-    packed like any other row. An empty table has no pieces. sequence_id: partition number and count within it.
+    packed like any other row. An empty table has no pieces. sequence_id: partition number and count within it. window: 1 or
+    more, whatever costs.step.
     """
+    if window < 1:
+        raise ValueError(f"window {window}: at least 1")
 
     def run(batches):
         enc = encoder(tokenizer)
