@@ -101,13 +101,25 @@ _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payloa
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
-    """From (doc_id, n_bytes, media): digests of the file and of the samples read back, and the time-coded pairs."""
+    """From (doc_id, n_bytes, media): digests of the file and of the samples read back, and the time-coded pairs.
+
+    frames and codes are two arrays of one length: a pair's first frame and its code, in order. Null media: nulls. Media that
+    are no mono 8-bit WAV: nulls but for the file's size and digest. Null and repeated doc_ids: a row each; equal media, equal
+    values. An empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches):
         for batch in sliced(batches, column=2, size=4 << 20):
             rows = []
             for name, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = samples(blob)
+                if blob is None:
+                    rows.append((name, n, *[None] * 7))
+                    continue
+                try:
+                    data = samples(blob)
+                except (wave.Error, EOFError, ValueError):
+                    rows.append((name, n, None, None, None, len(blob), hashlib.sha256(blob).hexdigest(), None, None))
+                    continue
                 frames, codes = pairs(*peaks(data))
                 rows.append((name, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(blob), hashlib.sha256(blob).hexdigest(), frames, codes))
             if rows:

@@ -38,7 +38,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.fingerprints(media.media_column(tables(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.size("codes"), F.hex(F.xxhash64("frames", "codes")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "frames", "codes")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

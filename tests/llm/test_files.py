@@ -152,3 +152,21 @@ def test_large_members_and_payloads_that_many_pages_have(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     kinds = [sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.read_archives(warc.write_archives(pages, hot_rows=n)).collect()) for n in (5, 1 << 30)]
     assert kinds[0] == kinds[1] and len(kinds[0]) == len(rows) and ("4", "revisit", "1") in kinds[0]
+
+
+def test_media_that_are_missing_or_something_else(spark):
+    rows = [(1, 3, media.to_wav(b"abc")), (1, 3, media.to_wav(b"abc")), (2, None, None), (None, 0, b""), (4, 5, b"RIFF....WAVE"), (5, 1, media.to_wav(b"x")[:20])]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, n_bytes long, media binary, frames int, codes string")
+    got = sorted(media.fingerprints(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    assert [r.payload_bytes for r in got] == [64, 64, None, None, None, None] and got[0] == got[1]
+    assert [r.media_bytes for r in got] == [108, 108, None, 12, 20, 0] and got[2].frames is None
+
+
+def test_pairs_are_those_of_all_near_peaks():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 5, 200):
+        peaks = sorted({(int(t), int(f)) for t, f in zip(rng.integers(0, 3 * n + 1, n), rng.integers(1, 512, n))})
+        want = sorted((t, f << 14 | g << 4 | u - t) for k, (t, f) in enumerate(peaks) for u, g in peaks[k + 1 : k + 1 + media.FAN] if u - t <= media.REACH)
+        time, tone = (np.array([p[i] for p in peaks], int) for i in (0, 1))
+        frames, codes = media.pairs(time, tone)
+        assert list(zip(frames.tolist(), codes.tolist())) == want
