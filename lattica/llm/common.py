@@ -170,7 +170,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(resolved(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
@@ -258,3 +258,8 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def resolved(tokenizer: str) -> str:
+    """A tokenizer file's place on this machine: a bare name is looked up among the public ones, wherever the task runs."""
+    return tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)

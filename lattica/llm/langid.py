@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, arrow_batch, columns_as, sliced, stored
+from .common import CACHE_WORDS, arrow_batch, columns_as, fresh, resolved, sliced, stored
 
 SPACE = "▁"
-#: Training rows taken per language (by a hash of the row), rounds of training, and what is added to each piece's count.
+#: Distinct training texts taken per language (by a hash of the text), rounds of training, and what is added to each piece's count.
 SAMPLE_ROWS, ROUNDS, SMOOTHING = 1500, 2, 0.05
-#: A single letter that is no piece; letters of a longer run are scored in turn, so many at a time.
-FLOOR, LONGEST = 1e-9, 48
+#: A single letter that is no piece. Runs of more letters than PLAIN are summed in logarithms, as products would vanish; they
+#: aren't kept for later.
+FLOOR, PLAIN = 1e-9, 24
 UNKNOWN = "und"
 
 
@@ -42,7 +43,7 @@ def vocabulary(model: str) -> list[str]:
     """The vocabulary's pieces of small letters, with or without a space before them."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    sp = sentencepiece.SentencePieceProcessor(model_file=resolved(model))
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     return sorted(p for p in pieces if (bare := p.removeprefix(SPACE)).isalpha() and bare == bare.lower() or p == SPACE)
 
@@ -71,23 +72,69 @@ def forward(word: str, pieces: dict, n_lang: int, longest: int) -> list[tuple[fl
     return alpha
 
 
-def expected(word: str, pieces: dict, k: int, longest: int) -> dict[str, float]:
-    """Expected counts of pieces in a word for language k."""
+def log_forward(word: str, pieces: dict, n_lang: int, longest: int) -> np.ndarray:
+    """The logarithms of forward(...)[-1] for a word of any length: only the last steps are held, and put to scale."""
+    held = [np.ones(n_lang)]  # of the places before here, the nearest last
+    scale, floor = np.zeros(n_lang), np.full(n_lang, FLOOR)
+    table = _arrays(pieces)
+    for j in range(1, len(word) + 1):
+        here = np.zeros(n_lang)
+        for back in range(1, len(held) + 1):
+            p = table.get(word[j - back : j])
+            if p is not None:
+                here += held[-back] * p
+            elif back == 1:
+                here += held[-1] * floor
+        held = [*held[1 - longest or len(held) :], here] if len(held) >= longest else [*held, here]
+        if here.min() < 1e-150:
+            held = [h / here for h in held]
+            scale += np.log(here)
+    return scale + np.log(held[-1])
+
+
+_TABLES: dict[int, tuple[dict, dict]] = {}
+
+
+def _arrays(pieces: dict) -> dict:
+    """pieces with arrays for tuples; that of the last table is kept."""
+    if id(pieces) not in _TABLES or _TABLES[id(pieces)][0] is not pieces:
+        _TABLES.clear()
+        _TABLES[id(pieces)] = pieces, {w: np.array(p, float) for w, p in pieces.items()}
+    return _TABLES[id(pieces)][1]
+
+
+def expected(word: str, pieces: dict, k: int, longest: int, plain: int = PLAIN) -> dict[str, float]:
+    """Expected counts of pieces in a word for language k; of a long word from logarithms."""
     n = len(word)
     find = lambda i, j: pieces[word[i:j]][k] if word[i:j] in pieces else FLOOR if j == i + 1 else 0.0
     links = [(i, j, p) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (p := find(i, j))]
-    ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    for i, j, p in links:
-        ahead[j] += ahead[i] * p
-    for i, j, p in reversed(links):
-        back[i] += back[j] * p
     out: dict[str, float] = {}
-    for i, j, p in links:
+    if n <= plain:
+        ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, p in links:
+            ahead[j] += ahead[i] * p
+        for i, j, p in reversed(links):
+            back[i] += back[j] * p
+        shares = ((i, j, ahead[i] * p * back[j] / ahead[n]) for i, j, p in links)
+    else:
+        links = [(i, j, math.log(p)) for i, j, p in links]
+        ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for i, j, p in links:
+            ahead[j] = _log_sum(ahead[j], ahead[i] + p)
+        for i, j, p in reversed(links):
+            back[i] = _log_sum(back[i], back[j] + p)
+        shares = ((i, j, math.exp(ahead[i] + p + back[j] - ahead[n])) for i, j, p in links)
+    for i, j, share in shares:
         if word[i:j] in pieces:
-            out[word[i:j]] = out.get(word[i:j], 0.0) + ahead[i] * p * back[j] / ahead[n]
+            out[word[i:j]] = out.get(word[i:j], 0.0) + share
     return out
 
 
+def _log_sum(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def _word_counts(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
@@ -102,18 +149,20 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model:
-    """Learns from the rows of docs (text, lang) with a lang and a text: about sample_rows whole texts per language.
+    """Learns from the rows of docs (text, lang) with a lang and a text: about sample_rows distinct whole texts per language.
 
-    Rows are taken by a hash of their text, so the same rows are taken however the table is laid out.
-    No such rows: a model without languages.
+    Texts are taken by their hash, so the same are taken however the table is laid out; copies of a text count once, and a
+    language of no more distinct texts than that is taken whole. A row of numbers per language comes to the driver. No such
+    rows: a model without languages.
     """
-    rows = columns_as(docs, lang="lang", text="text").where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    rows = columns_as(docs, lang="lang", text="text").where("lang is not null and text is not null").withColumn("hash", F.xxhash64("text"))
+    about = {r.lang: (r.n, r.texts) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.02).alias("texts")).collect()}
+    languages, sizes = sorted(about), {lang: n for lang, (n, _) in about.items()}
     if not languages:
         return Model([], [], {})
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / sizes[lang]))])
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / max(about[lang][1], 1)))])
+    taken = rows.where(F.pmod("hash", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    taken = taken.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
     counts = stored(_word_counts(taken), "langid-words")
     pieces = vocabulary(model)
     index = {lang: k for k, lang in enumerate(languages)}
@@ -127,9 +176,8 @@ def train(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, rounds: i
             for batch in batches:
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     into = sums[index[lang]]
-                    for part in parts(word):
-                        for piece, x in expected(part, table, index[lang], longest).items():
-                            into[piece] = into.get(piece, 0.0) + n * x
+                    for piece, x in expected(SPACE + word, table, index[lang], longest).items():
+                        into[piece] = into.get(piece, 0.0) + n * x
             rows = [(lang, piece, x) for lang, found in zip(languages, sums, strict=True) for piece, x in found.items()]
             if rows:
                 yield arrow_batch(schema, list(zip(*rows, strict=True)))
@@ -142,11 +190,6 @@ def train(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, rounds: i
     return Model(languages, [sizes[x] / whole for x in languages], table)
 
 
-def parts(word: str) -> list[str]:
-    """A word with a space before it, in parts of bounded length."""
-    return [(SPACE if at == 0 else "") + word[at : at + LONGEST] for at in range(0, len(word), LONGEST)]
-
-
 class Scorer:
     """Adds up words' log-probabilities; each distinct word is scored once per worker."""
 
@@ -156,8 +199,9 @@ class Scorer:
 
     def word(self, word: str) -> tuple[float, ...]:
         n = len(self.model.languages)
-        ends = [forward(p, self.model.pieces, n, self.longest)[-1] for p in parts(word)]
-        return tuple(sum(math.log(max(e[k], 1e-300)) for e in ends) for k in range(n))
+        if len(word) >= PLAIN:
+            return tuple(log_forward(SPACE + word, self.model.pieces, n, self.longest))
+        return tuple(map(math.log, forward(SPACE + word, self.model.pieces, n, self.longest)[-1]))
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text, the log-probabilities by language, and its number of words."""
@@ -166,12 +210,16 @@ class Scorer:
         words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.index) > CACHE_WORDS // 2:
             self.index, self.rows = {}, []
-        index, rows = self.index, self.rows
+        index, rows, found = self.index, self.rows, []
         for w in words:
-            if w not in index:
+            if (k := index.get(w)) is not None:
+                found.append(rows[k])
+                continue
+            found.append(self.word(w) if w else (0.0,) * len(self.model.languages))
+            if len(w) < PLAIN:
                 index[w] = len(rows)
-                rows.append(self.word(w) if w else (0.0,) * len(self.model.languages))
-        values = np.array([rows[index[w]] for w in words]).reshape(len(words), -1)[which]
+                rows.append(found[-1])
+        values = np.array(found).reshape(len(words), -1)[which]
         real = np.array([bool(w) for w in words], bool)[which]
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -218,9 +266,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with their columns, whose text is in a learned language, however low its posterior."""
-    found = predict(docs, model, keep=tuple(docs.columns))
-    return found.toDF(*docs.columns, "_lang", "_score").where(F.col("_lang") != UNKNOWN).drop("_lang", "_score")
+    """The rows of docs, with their columns of whatever name, whose text is in a learned language, however low its posterior.
+
+    A null text, or one without a letter, goes; repeated rows and ids stay. An empty table gives no rows.
+    """
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, model, keep=tuple(docs.columns)).toDF(*docs.columns, lang, score)
+    return found.where(F.col(lang) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out(doc_id: str = "doc_id"):

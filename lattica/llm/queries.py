@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, media, packing, secrets, simhash, token_counts, toxicity, warc, wavelet
-from .common import tables, tokenizer_path
+from .common import tables
 
 
 def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
-    return wavelet.read_shards(wavelet.write_shards(docs, tokenizer_path("word_bpe_49k.json"), end_id=1), with_ids=False)
+    return wavelet.read_shards(wavelet.write_shards(docs, "word_bpe_49k.json", end_id=1), with_ids=False)
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tables(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
+    return packing.pack(tables(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2, window=4096)
 
 
 def op4_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counted_from_table(tables(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+    return token_counts.counted_from_table(tables(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
 def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
-    model = langid.train(docs.where("not held_out"), tokenizer_path("piece_bpe_32k.model"))
+    model = langid.train(docs.where("not held_out"), "piece_bpe_32k.model")
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 

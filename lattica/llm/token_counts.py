@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_batch, columns_as, sliced, stored
+from .common import CACHE_WORDS, arrow_batch, columns_as, resolved, sliced, stored
 
 SPACE = "▁"
 #: Signs of a part of a text up to which its steps are kept.
@@ -36,7 +36,7 @@ class PrefixCounter:
     def __init__(self, model: str, cache_words: int = CACHE_WORDS):
         import sentencepiece
 
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=resolved(model))
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         spaces = [p for p in self.scores if SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2)]
         if any(set(p) != {SPACE} for p in spaces) or sp.encode("a b ", out_type=str)[-1] != SPACE:

@@ -325,3 +325,68 @@ def test_running_sums_and_maxima(spark):
     df = spark.createDataFrame(rows, "v array<int>")
     for r in df.select("v", running(F.col("v")).alias("s"), running(F.col("v"), F.greatest).alias("m")).collect():
         assert r.s == list(itertools.accumulate(r.v)) and r.m == list(itertools.accumulate([0, *r.v], max))[1:]
+
+
+def test_long_runs_are_summed_whole():
+    """Sums in logarithms are those of products; long words underflow nowhere; a piece across any place counts."""
+    rng = random.Random(31)
+    pieces = {"".join(p): (rng.random() / 9, rng.random() / 9) for n in (1, 2, 3, 4) for p in itertools.product("ab", repeat=n) if rng.random() < 0.6}
+    for n in (1, 2, 5, 24, 30, 60):
+        word = "".join(rng.choice("abc") for _ in range(n))
+        assert np.allclose(langid.log_forward(word, pieces, 2, 4), np.log(langid.forward(word, pieces, 2, 4)[-1]))
+        for k in range(2):
+            plain, logs = langid.expected(word, pieces, k, 4, 100), langid.expected(word, pieces, k, 4, 0)
+            assert plain.keys() == logs.keys() and all(math.isclose(plain[p], logs[p], rel_tol=1e-6) for p in plain)
+    assert np.isfinite(langid.log_forward("abc" * 20_000, pieces, 2, 4)).all()
+    counts = langid.expected("c" * 300, pieces, 0, 4)
+    assert counts == {} and np.allclose(langid.log_forward("c" * 300, pieces, 2, 4), 300 * math.log(langid.FLOOR))
+
+
+def test_a_round_of_training_and_posteriors_by_brute_force(spark, monkeypatch):
+    """One round of expectation and maximisation, and every row's posterior, over all segmentations; copies train once."""
+    pieces = ["▁", "a", "b", "ab", "ba", "▁a", "▁ab"]
+    monkeypatch.setattr(langid, "vocabulary", lambda model: pieces)
+    rows = [(1, "ab ba", "x"), (2, "ab ba", "x"), (3, "bab", "y"), (4, "Abc!", "y"), (5, None, "y"), (6, "a", None)]
+    docs = spark.createDataFrame([(*r, "l", 2) for r in rows], "doc_id long, text string, lang string, lang_pred string, _score int")
+    flat = dict.fromkeys(pieces, 1 / len(pieces))
+
+    def cuts(word, table):
+        for marks in itertools.product([0, 1], repeat=len(word) - 1):
+            at = [0, *[k + 1 for k, m in enumerate(marks) if m], len(word)]
+            parts = [word[a:b] for a, b in zip(at, at[1:])]
+            if all(p in table or len(p) == 1 for p in parts):
+                yield parts, math.prod(table.get(p, langid.FLOOR) for p in parts)
+
+    def words(text):
+        return ["▁" + w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w]
+
+    tables, texts = {}, {"x": ["ab ba"], "y": ["bab", "Abc!"]}
+    for lang, own in texts.items():
+        counts = Counter()
+        for word in (w for t in own for w in words(t)):
+            every = list(cuts(word, flat))
+            whole = sum(p for _, p in every)
+            for parts, p in every:
+                for piece in parts:
+                    counts[piece] += p / whole * (piece in flat)
+        total = sum(counts.values()) + langid.SMOOTHING * len(pieces)
+        tables[lang] = {p: (counts[p] + langid.SMOOTHING) / total for p in pieces}
+    model = langid.train(docs, PIECE, rounds=1)
+    assert model.languages == ["x", "y"] and np.allclose(model.priors, [0.5, 0.5])
+    assert all(np.allclose(model.pieces[p], [tables["x"][p], tables["y"][p]]) for p in pieces)
+    for r in langid.predict(docs, model).collect():
+        text = {d: t for d, t, _ in rows}[r.doc_id]
+        logs = np.array([sum(math.log(sum(p for _, p in cuts(w, tables[k]))) for w in words(text)) for k in "xy"])
+        share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert (r.lang_pred, round(r.score, 9)) == (("xy"[share.argmax()], round(share.max(), 9)) if words(text) else ("und", 0))
+    kept = langid.recognised(docs, model)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.lang_pred, r._score) for r in kept.collect()) == [(k, "l", 2) for k in (1, 2, 3, 4, 6)]
+
+
+def test_columns_named_like_the_recognisers_own(languages):
+    from pyspark.sql import functions as F
+
+    docs = languages.withColumn("_lang", F.lit("mine")).withColumn("_score", F.lit(1)).withColumn("LANG_PRED_", F.lit(2))
+    model = langid.train(languages, PIECE, sample_rows=20)
+    kept = langid.recognised(docs, model)
+    assert kept.columns == docs.columns and {(r._lang, r._score, r.LANG_PRED_) for r in kept.collect()} == {("mine", 1, 2)}
