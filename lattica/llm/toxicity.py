@@ -3,6 +3,10 @@
 One weight per feature is shared by all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . features). Features
 are words and beginnings of words that tell grades apart, by the texts of each kind that hold them. A feature must stand
 before many different words (told apart by a hash into 64), so that a word of one text and its copies is none.
+
+Labels may carry grades of their own (column severity). Where they only say toxic or not, toxic texts are graded by how often
+telling words occur in them, those words being learnt from the other half of the sample: a text's grade never rests on
+evidence that the text itself gave.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, columns_as, sliced, stored
 
-#: Labelled rows used for fitting (taken by a hash of the text), features kept, and different words (of 64 hashes) that must follow one, and the least log-likelihood ratio.
-SAMPLE_ROWS, FEATURES, CONTEXTS, EVIDENCE = 20_000, 500, 8, 18.0
+#: Labelled rows used for fitting (taken by a hash of doc_id), different words (of 64 hashes) that must follow a feature, and its least log-likelihood ratio.
+SAMPLE_ROWS, CONTEXTS, EVIDENCE = 20_000, 8, 18.0
 GRADES = 3
 #: Beginnings of words that are features, by length; the sign that ends a whole word; signs by which unknown words are left out.
 STEMS, END, HEAD = range(4, 10), "$", 4
@@ -35,7 +39,7 @@ class Model:
 
 
 def severity(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """Grades to fit: 0 not toxic, 1 toxic, 2 toxic with more telling words than half of the toxic texts that have any."""
+    """Grades to fit: 0 not toxic, 1 toxic, 2 toxic with more places of telling words than half of the toxic texts that have any."""
     some = hits[(toxic > 0) & (hits > 0)]
     return np.where(toxic == 0, 0, 1 + (hits > (np.median(some) if len(some) else 0)))
 
@@ -110,77 +114,98 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, grades: np.ndarray, n_featu
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    marks = columns_as(labels, id="doc_id", toxic="toxic").where("id is not null and toxic is not null")
-    marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    given = {"severity": "severity"} if "severity" in labels.columns else {}
+    marks = columns_as(labels, id="doc_id", toxic="toxic", **given).where("id is not null and toxic is not null")
+    worst = F.max("severity") if given else F.lit(None)
+    marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"), worst.cast("int").alias("severity"))
     n = marks.count()
     share = min(1.0, sample_rows / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    return columns_as(docs, id="doc_id", text="text").where("text is not null").join(marks, "id").select("text", "toxic")
+    rows = columns_as(docs, id="doc_id", text="text").where("text is not null").join(marks, "id")
+    return rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "severity", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+
+
+def _telling(found: DataFrame, halves: tuple[int, ...], sizes: dict, contexts: int) -> Column:
+    """Whether a feature tells toxic texts of these halves: its log-likelihood ratio, and the words that follow it."""
+    bad, good = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in ("bad", "good"))
+    after = F.col(f"after{halves[0]}") if len(halves) == 1 else F.col("after0").bitwiseOR(F.col("after1"))
+    n_bad, n_good = (sum(sizes.get((h, t), 0) for h in halves) for t in (1, 0))
+    if not n_bad:
+        return F.lit(False)
+    share, total = n_bad / (n_bad + n_good), bad + good
+    term = lambda c, p: F.when(c > 0, c * F.log(c / (total * p))).otherwise(0.0)
+    ratio = 2 * (term(bad, share) + (term(good, 1 - share) if share < 1 else F.lit(0.0)))
+    return F.coalesce((F.bit_count(after) >= contexts) & (bad / total > share) & (ratio > EVIDENCE), F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = FEATURES, contexts: int = CONTEXTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, contexts: int = CONTEXTS) -> Model:
     """Fits on about sample_rows labelled rows, taken by a hash of doc_id; no labels: a model that grades all rows 0.
 
-    A label that repeats counts once, as toxic if any says so. Rows of docs without a label or text are not used.
+    labels: doc_id, toxic and, if there, severity (grades 0 to 2, which are then what is fitted). A label that repeats counts
+    once, with the most severe of what is said. Rows of docs without a label or text are not used. All features that tell
+    are kept; they are at most those of the sample.
     """
     rows = stored(_labelled(docs, labels, sample_rows), "toxicity-rows")
-    sizes = rows.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("bad"), F.count(F.when(F.col("toxic") == 0, 1)).alias("good")).first()
-    if not sizes.bad:
+    sizes = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not any(toxic for _, toxic in sizes):
         return Model({}, [20.0, 40.0])
-    schema = pa.schema([("word", pa.string()), ("bad", pa.int64()), ("good", pa.int64()), ("after", pa.int64())])
+    names = ["word"] + [f"{c}{h}" for h in (0, 1) for c in ("bad", "good", "after")]
+    schema = pa.schema([("word", pa.string())] + [(n, pa.int64()) for n in names[1:]])
 
     def evidence(batches):
-        bad, good, after = Counter(), Counter(), {}
+        bad, good, after = (Counter(), Counter()), (Counter(), Counter()), ({}, {})
         for batch in sliced(batches, column=0, size=2 << 20):
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (bad if toxic else good).update(features(text))
+            for text, toxic, half in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                (bad if toxic else good)[half].update(features(text))
                 if toxic:
                     words = _WORD.findall(text.lower())
                     for word, following in set(zip(words, [*words[1:], ""])):
                         bit = 1 << zlib.crc32(following.encode()) % 64
                         for feature in features(word):
-                            after[feature] = after.get(feature, 0) | bit
-        words = list(bad | good)
+                            after[half][feature] = after[half].get(feature, 0) | bit
+        words = list(bad[0] | bad[1] | good[0] | good[1])
         if words:
-            masks = np.array([after.get(w, 0) for w in words], np.uint64).view(np.int64)
-            yield arrow_batch(schema, [words, [bad[w] for w in words], [good[w] for w in words], masks])
-
-    found = rows.mapInArrow(evidence, "word string, bad long, good long, after long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_or("after").alias("after"))
-    # How far a word's share of toxic texts is from that of all words: a log-likelihood ratio.
-    share = sizes.bad / (sizes.bad + sizes.good)
-    total = F.col("bad") + F.col("good")
-    term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (total * p))).otherwise(0.0)
-    score = 2 * (term("bad", share) + (term("good", 1 - share) if share < 1 else F.lit(0.0)))
-    telling = found.where((F.bit_count("after") >= contexts) & (F.col("bad") / total > share))
-    best = telling.select("word", score.alias("score")).where(F.col("score") > EVIDENCE).orderBy(F.desc("score"), "word").limit(most).collect()
-    index = {r.word: k for k, r in enumerate(best)}
-    heads = {w[:HEAD] for w in index}
-    pairs = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.int32())), ("hits", pa.int32()), ("n", pa.int64())])
+            columns = [words]
+            for h in (0, 1):
+                columns += [[bad[h][w] for w in words], [good[h][w] for w in words], np.array([after[h].get(w, 0) for w in words], np.uint64).view(np.int64)]
+            yield arrow_batch(schema, columns)
+
+    found = rows.mapInArrow(evidence, "word string, " + ", ".join(f"{n} long" for n in names[1:])).groupBy("word")
+    found = found.agg(*[(F.bit_or(n) if n.startswith("after") else F.sum(n)).alias(n) for n in names[1:]])
+    kinds = {name: _telling(found, halves, sizes, contexts) for name, halves in (("all", (0, 1)), ("in0", (0,)), ("in1", (1,)))}
+    telling = found.select("word", *[kind.alias(name) for name, kind in kinds.items()]).where("all or in0 or in1").collect()  # at most the sample's features
+    index = {r.word: k for k, r in enumerate(sorted((r for r in telling if r["all"]), key=lambda r: r.word))}
+    others = {0: {r.word for r in telling if r.in1}, 1: {r.word for r in telling if r.in0}}
+    heads = {r.word[:HEAD] for r in telling}
+    pairs = pa.schema([("toxic", pa.int32()), ("severity", pa.int32()), ("features", pa.list_(pa.int32())), ("hits", pa.int32()), ("n", pa.int64())])
 
     def sparse(batches):
         counts = Counter()
         for batch in sliced(batches, column=0, size=2 << 20):
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = {w for w in _WORD.findall(text.lower()) if f"{w}{END}"[:HEAD] in heads}
-                own = [{k for f in features(w) if (k := index.get(f)) is not None} for w in words]
-                counts[min(toxic, 1), tuple(sorted(set().union(*own))), sum(map(bool, own))] += 1
+            for text, toxic, grade, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = Counter(w for w in _WORD.findall(text.lower()) if f"{w}{END}"[:HEAD] in heads)
+                own = {w: features(w) for w in words}
+                places = sum(n for w, n in words.items() if toxic and own[w] & others[half])
+                known = {k for of in own.values() for f in of if (k := index.get(f)) is not None}
+                counts[toxic, grade, tuple(sorted(known)), places] += 1
         if counts:
             yield arrow_batch(pairs, [*zip(*counts, strict=True), list(counts.values())])
 
-    fitted = rows.mapInArrow(sparse, "toxic int, features array<int>, hits int, n long").collect()  # at most the sample's rows
-    each = [x for x in fitted for _ in range(x.n)]
+    fitted = rows.mapInArrow(sparse, "toxic int, severity int, features array<int>, hits int, n long").collect()  # at most the sample's rows
+    each = [x for x in sorted(fitted, key=lambda x: (x.toxic, x.hits, x.features, x.severity or 0)) for _ in range(x.n)]
     row = np.array([k for k, x in enumerate(each) for _ in x.features], np.int64)
     column = np.array([f for x in each for f in x.features], np.int64)
     grades = severity(np.array([x.toxic for x in each]), np.array([x.hits for x in each]))
-    weights, thresholds = fit_ordinal(row, column, grades, len(index))
+    given = np.array([-1 if x.severity is None else min(max(x.severity, 0), GRADES - 1) for x in each])
+    weights, thresholds = fit_ordinal(row, column, np.where(given >= 0, given, grades), len(index))
     return Model({w: float(weights[k]) for w, k in index.items()}, thresholds.tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, grade, p_toxic, expected_severity, toxic) for every row, from its whole text.
 
-    docs: doc_id (long) and text; other columns are ignored. grade: the likeliest; p_toxic: that of a grade over 0; toxic:
-    p_toxic over a half. Null text: no features. Null and repeated doc_ids: a row each. An empty table gives no rows.
+    docs: doc_id (long) and text; other columns are ignored. grade: the median, so over 0 just where p_toxic is over a half;
+    p_toxic: the probability of a grade over 0; toxic: p_toxic over a half. Null text: no features. Null and repeated doc_ids: a row each. An empty table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("p_toxic", pa.float64()), ("expected_severity", pa.float64())])
     known, weights = set(model.weights), model.weights
@@ -191,7 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "").to_pylist()
             z = np.array([sum(weights[w] for w in sorted(known & features(t, heads))) for t in texts])
             p = probabilities(z, model.thresholds) if len(z) else np.zeros((0, GRADES))
-            yield arrow_batch(schema, [batch.column(0), p.argmax(axis=1).astype(np.int32), 1 - p[:, 0], p @ np.arange(GRADES)])
+            yield arrow_batch(schema, [batch.column(0), (np.cumsum(p, axis=1)[:, :-1] < 0.5).sum(axis=1).astype(np.int32), 1 - p[:, 0], p @ np.arange(GRADES)])
 
     rows = columns_as(docs, id="doc_id", text="text").withColumn("id", F.col("id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, grade int, p_toxic double, expected_severity double").withColumn("toxic", F.col("p_toxic") > 0.5)

@@ -390,3 +390,68 @@ def test_columns_named_like_the_recognisers_own(languages):
     model = langid.train(languages, PIECE, sample_rows=20)
     kept = langid.recognised(docs, model)
     assert kept.columns == docs.columns and {(r._lang, r._score, r.LANG_PRED_) for r in kept.collect()} == {("mine", 1, 2)}
+
+
+def test_toxicity_by_brute_force(spark):
+    """Features, halves, grades, the optimum and every score worked out plainly; then grades that labels give themselves."""
+    import xxhash
+
+    rng = random.Random(41)
+    bad, rows, labels = ["vile", "nasty", "horrid", "rotten"], [], []
+    for k in range(420):
+        words = prose(rng, rng.randint(10, 30)).split()
+        toxic = k % 4 == 0
+        for _ in range(rng.randint(1, 6) if toxic else 0):
+            words.insert(rng.randint(0, len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic), rng.choice([None, 0, 1])))
+    rows += [(500, None), (501, ""), (None, "vile text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+
+    marks = {d: t for d, t, _ in labels}
+    seen = [(t, marks[d], np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64) % 2) for d, t in rows if d in marks]
+
+    def telling(some):
+        n = [sum(1 for _, t, _ in some if t == k) for k in (0, 1)]
+        counts, after = {}, {}
+        for text, toxic, _ in some:
+            for f in toxicity.features(text):
+                counts.setdefault(f, [0, 0])[toxic] += 1
+            if toxic:
+                words = re.findall(r"[^\W\d_]+", text.lower())
+                for w, following in zip(words, [*words[1:], ""]):
+                    for f in toxicity.features(w):
+                        after.setdefault(f, set()).add(zlib.crc32(following.encode()) % 64)
+        out = set()
+        for f, (good, ill) in counts.items():
+            share, total = n[1] / sum(n), good + ill
+            ratio = 2 * sum(c * math.log(c / (total * p)) for c, p in ((ill, share), (good, 1 - share)) if c)
+            if len(after.get(f, ())) >= toxicity.CONTEXTS and ill / total > share and ratio > toxicity.EVIDENCE:
+                out.add(f)
+        return out
+
+    assert set(model.weights) == telling(seen)
+    halves = [telling([s for s in seen if s[2] == h]) for h in (0, 1)]
+    places = [sum(bool(toxicity.features(w) & halves[1 - h]) for w in re.findall(r"[^\W\d_]+", t.lower())) if toxic else 0 for t, toxic, h in seen]
+    grades = toxicity.severity(np.array([t for _, t, _ in seen]), np.array(places))
+    assert set(grades) == {0, 1, 2}
+    index = {f: k for k, f in enumerate(sorted(model.weights))}
+    pairs = [(k, index[f]) for k, (t, _, _) in enumerate(seen) for f in toxicity.features(t) & set(index)]
+    row, column = (np.array(x) for x in zip(*pairs))
+    cuts = model.thresholds
+    theta = np.array([model.weights[f] for f in sorted(index)] + [cuts[0], math.log(cuts[1] - cuts[0])])
+    loss, slope = toxicity._loss(theta, row, column, grades, len(index), 1e-6)
+    near = [toxicity._loss(theta + np.random.default_rng(k).normal(size=len(theta)) * size, row, column, grades, len(index), 1e-6)[0] for k in range(20) for size in (0.01, 0.1, 1)]
+    assert np.abs(slope).max() < 1e-3 and min(near) > loss - 1e-6
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for d, text in rows:
+        z = sum(model.weights[f] for f in toxicity.features(text or "") & set(model.weights))
+        below = [1 / (1 + math.exp(z - c)) for c in cuts]
+        want = (sum(b < 0.5 for b in below), 1 - below[0], 2 - sum(below), 1 - below[0] > 0.5)
+        assert np.allclose((got[d].grade, got[d].p_toxic, got[d].expected_severity, got[d].toxic), want), d
+
+    worst = {d: 0 if not t else 2 if "vile" in dict(rows)[d].lower() else 1 for d, t, _ in labels}
+    model = toxicity.train(docs, spark.createDataFrame([(d, t, worst[d]) for d, t, _ in labels], "doc_id long, toxic int, severity int"))
+    got = {r.doc_id: r.grade for r in toxicity.score(docs, model).collect()}
+    assert sum(got[d] == g for d, g in worst.items()) > 0.97 * len(worst)
