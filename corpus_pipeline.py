@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontam, langid, packing, secrets, simhash
-from lattica.llm.common import stored, tables, tokenizer_path
+from lattica.llm.common import stored, tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,29 +18,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from the rows with a lang whose id is not held out; lang is no input of a prediction.
     """
-    model = langid.train(docs.where(~langid.held_out()), tokenizer_path("piece_bpe_32k.model"))
+    model = langid.train(docs.where(~langid.held_out()), "piece_bpe_32k.model")
     return langid.recognised(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates; of rows that share it, one."""
-    return simhash.representatives(docs)
+    """Keeps one document of each group of near-duplicates: that with the smallest doc_id, of rows that share it that with the least text.
+
+    Rows that share a doc_id but are no near-duplicates all stay. Empty texts are one group.
+    """
+    return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap with a benchmark item."""
+    """Drops documents that overlap with a benchmark item.
+
+    A null or empty text overlaps with none; rows that share a doc_id go together; a row without a doc_id stays.
+    """
     return decontam.clean(docs, tables(spark, sf_dir, "benchmark"), decontam.WHOLE)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in text by a mark; n_chars follows where it is there. No document goes."""
+    """Replaces secrets in text by a mark; n_chars follows where it is there. No document goes; a null text stays null."""
     out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens: a row per piece."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
+    """Packs what is left into sequences of 4096 tokens: a row per piece.
+
+    A null or empty text is its end id alone; repeated ids are packed row by row; no documents, no pieces.
+    """
+    return packing.pack(docs, "word_bpe_49k.json", end_id=2, window=4096)
 
 
 STAGES = [

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master
+    (tests), and an error on a cluster, whose executors could not read it."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not (sc.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors can read and write")
     if not (kept := getattr(sc, "_lattica_shared", None)):
         kept = sc._lattica_shared = tempfile.mkdtemp(prefix="lattica-shared-")
         sc.setCheckpointDir(kept)
