@@ -2,7 +2,10 @@
 
 An L is a corner box and up to two arms, filled inside and framed by empty cells one wide; cells beyond the grid hold
 anything. The four orientations are mirror images within the L's bounding rectangle. Inside cells must also have nothing
-below them. Sizes are tried in a fixed order (box z, box x, arm z, arm x) and the first that fits is the result.
+below them. Of the sizes that fit, the least is the result (by box z, box x, arm z, arm x).
+
+Inside cells are solid and frames empty, so an L's sizes follow from runs of solid cells: along its long side to the frame
+beyond, along its foot, and across the ends of both. Only the L whose notch is next to the anchor leaves one size open.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ class Plane:
     def __init__(self, filled: np.ndarray, under: np.ndarray):
         self.filled, self.shape = filled, filled.shape
         self.sums = [np.pad(np.cumsum(np.cumsum(a.astype(np.int64), 0), 1), ((1, 0), (1, 0))) for a in (filled, filled & ~under, np.ones_like(filled))]
+        solid = filled & ~under
+        #: Lengths of the runs of solid cells from a cell on: to greater x, lesser x, greater z, lesser z.
+        self.right, self.left = _runs(solid[::-1])[::-1], _runs(solid)
+        self.down, self.up = _runs(solid[:, ::-1].T).T[:, ::-1], _runs(solid.T).T
 
     def total(self, which: int, x0, z0, x1, z1):
         """Sum over x0 <= x < x1, z0 <= z < z1, clipped to the grid; arrays are allowed."""
@@ -35,6 +42,12 @@ class Plane:
         return self.total(1, *r) == self.total(2, *r)
 
 
+def _runs(solid: np.ndarray) -> np.ndarray:
+    """How many cells up to each, along the first axis, are solid without a gap."""
+    at = np.arange(1, len(solid) + 1)[:, None]
+    return at - np.maximum.accumulate(np.where(solid, 0, at), axis=0)
+
+
 def _rectangles(box_x, box_z, d_x, d_z) -> tuple[list, list]:
     """Empty and inside rectangles (x0, z0, x1, z1) of an upright L in its bounding rectangle; arm sizes may be arrays."""
     w, h = box_x + d_x, box_z + d_z
@@ -64,23 +77,48 @@ def _placed(r, i, j, w, h, mirror_x, mirror_z):
     return x0 + i - 1, z0 + j - 1, x1 + i - 1, z1 + j - 1
 
 
+def _fits(plane: Plane, i: int, j: int, size: tuple[int, int, int, int], orientation: tuple[bool, bool]) -> bool:
+    box_x, box_z, d_x, d_z = size
+    if box_x < 3 or box_z < 3 or d_x < 0 or d_z < 0:
+        return False
+    empty, inside = _rectangles(box_x, box_z, np.int64(d_x), np.int64(d_z))
+    place = lambda r: _placed(r, i, j, box_x + d_x, box_z + d_z, *orientation)
+    return all(plane.empty(*place(r)) for r in empty) and all(plane.solid(*place(r)) for r in inside)
+
+
+def _sizes(plane: Plane, i: int, j: int, orientation: tuple[bool, bool]):
+    """(box x, box z, whole x, whole z) of all Ls with a notch that may begin before (i, j)."""
+    right, left, down, up = plane.right, plane.left, plane.down, plane.up
+    if orientation == (True, False):  # the notch is next to (i, j): the foot may begin anywhere below
+        column = down[i]
+        for z in (np.flatnonzero((column[j + 1 :] > 0) & (column[j:-1] == 0)) + j + 1).tolist():
+            n = int(column[z])
+            w = int(right[i, z + n - 1]) + 2
+            yield int(left[i + w - 3, j]) + 2, n + 2, w, z - j + n + 2
+        return
+    mirror_x, mirror_z = orientation
+    if not (right[i, j] and down[i, j]):
+        return
+    if not mirror_x and not mirror_z:
+        h = int(down[i, j]) + 2
+        w = int(right[i, j + h - 3]) + 2
+        yield int(right[i, j]) + 2, int(up[i + w - 3, j + h - 3]) + 2, w, h
+    elif mirror_z and not mirror_x:
+        w, h = int(right[i, j]) + 2, int(down[i, j]) + 2
+        yield int(right[i, j + h - 3]) + 2, int(down[i + w - 3, j]) + 2, w, h
+    else:
+        w = int(right[i, j]) + 2
+        h = int(down[i + w - 3, j]) + 2
+        yield int(left[i + w - 3, j + h - 3]) + 2, int(down[i, j]) + 2, w, h
+
+
 def find_l(plane: Plane, i: int, j: int, orientation: tuple[bool, bool]) -> tuple[int, int, int, int] | None:
-    """(box_x, box_z, d_x, d_z) of the first L of an orientation whose bounding rectangle begins before (i, j), or None."""
-    n_x, n_z = plane.shape
-    for box_z in range(3, n_z + 2 - j + 1):
-        for box_x in range(3, n_x + 2 - i + 1):
-            d_z, d_x = np.meshgrid(np.arange(n_z + 2 - box_z - j + 1), np.arange(n_x + 2 - box_x - i + 1), indexing="ij")
-            empty, inside = _rectangles(box_x, box_z, d_x, d_z)
-            place = lambda r: _placed(r, i, j, box_x + d_x, box_z + d_z, *orientation)  # noqa: B023, E731
-            ok = np.ones(d_x.shape, bool)
-            for r in empty:
-                ok &= plane.empty(*place(r))
-            for r in inside:
-                ok &= plane.solid(*place(r))
-            if ok.any():
-                k = np.unravel_index(np.argmax(ok), ok.shape)
-                return box_x, box_z, int(d_x[k]), int(d_z[k])
-    return None
+    """(box_x, box_z, d_x, d_z) of the least L of an orientation whose bounding rectangle begins before (i, j), or None."""
+    found = [(bx, bz, w - bx, h - bz) for bx, bz, w, h in _sizes(plane, i, j, orientation)]
+    w, h = int(plane.right[i, j]) + 2, int(plane.down[i, j]) + 2
+    found += [(w, 3, 0, h - 3), (3, h, w - 3, 0)]  # a whole rectangle is an L with one arm or none
+    fits = [s for s in found if _fits(plane, i, j, s, orientation)]
+    return min(fits, key=lambda s: (s[1], s[0], s[3], s[2]), default=None)
 
 
 def inside_cells(plane: Plane, i: int, j: int, size: tuple[int, int, int, int], orientation: tuple[bool, bool]) -> set[tuple[int, int]]:
