@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 
+#: Rounds after which the tables of what was reached are put together.
+TOGETHER = 16
+
 
 def _state(edges: DataFrame) -> tuple:
     """A row that changes when the edges do."""
@@ -19,7 +22,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates large-star and small-star steps: each hangs a node's neighbours below the smallest of them, by a grouped
     minimum (combined before the shuffle) and a join. Rounds grow with the logarithm of the longest path. Each round's
-    edges are written to the shared folder, so a lost executor costs no earlier round. Null ends drop the edge; self
+    edges are written to the shared folder, so a lost executor costs no earlier round. The joins are keyed by node and one side
+    has a row per node, so a hub's rows are one key of the other: adaptive execution splits such a partition. Null ends drop the edge; self
     loops name their node alone; repeated edges count once; no edges give no rows.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
@@ -49,15 +53,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def reachable(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 100_000) -> DataFrame:
     """(node) for every node that directed paths of edges lead to from a seed, seeds included.
 
-    A frontier loop: each round joins only the nodes that the last one found. Frontiers are written to the shared folder.
+    A frontier loop: each round joins only the nodes that the last one found, so there are as many rounds as the longest
+    shortest path has steps; more than max_rounds are an error. Frontiers are written to the shared folder, and put together
+    every so many rounds. Where edges lead both ways, connected_components takes fewer rounds.
     """
     seen = stored(seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), "reach-seen")
     links = stored(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node <> to").distinct(), "reach-edges")
     front = seen
-    for _ in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         new = front.join(links, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
         front = stored(new, "reach-front")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if k % TOGETHER == 0:
+            seen = stored(seen, "reach-seen")
+    raise RuntimeError(f"nodes were still being reached after {max_rounds} rounds")

@@ -236,9 +236,11 @@ def split_orphans(trees: DataFrame) -> DataFrame:
 
 def attached_foliage(confirmed: DataFrame, foliage: DataFrame) -> DataFrame:
     """(tree_id): foliage that touches, corners included, a confirmed tree or foliage that does so."""
-    met = neighbors(foliage, foliage, ALL26, keep=("tree_id",)).where("tree_id <> n_tree_id")
-    first = neighbors(foliage, confirmed, ALL26, "left_semi").select(F.col("tree_id").alias("node")).distinct()
-    return reachable(first, met.select(F.col("tree_id").alias("src"), F.col("n_tree_id").alias("dst"))).select(F.col("node").alias("tree_id"))
+    met = neighbors(foliage, foliage, ALL26, keep=("tree_id",)).where("tree_id < n_tree_id")
+    groups = stored(connected_components(met.select(F.col("tree_id").alias("src"), F.col("n_tree_id").alias("dst")).distinct()), "foliage-groups")
+    first = stored(neighbors(foliage, confirmed, ALL26, "left_semi").select(F.col("tree_id").alias("node")).distinct(), "foliage-first")
+    near = groups.join(first, "node").select("component").distinct()
+    return first.unionByName(groups.join(near, "component", "left_semi").select("node")).distinct().select(F.col("node").alias("tree_id"))
 
 
 def stumps(trees: DataFrame, cells: DataFrame) -> DataFrame:
