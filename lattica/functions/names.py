@@ -1,7 +1,7 @@
 """What a block's name says about it, as SQL CASE rules over a dictionary of names.
 
-Everything here depends on the name alone, so it is worked out once per distinct name (see block_classes) and joined to
-blocks. Rules are tried in order; the first that holds gives the label. The SQL runs alike in Spark and other engines.
+Everything here depends on the name alone. Blocks are classified row by row, in the stage that reads them (see classified);
+block_classes gives the dimension, a row per distinct name. Rules are tried in order; the first that holds gives the label. The SQL runs alike in Spark and other engines.
 """
 
 from __future__ import annotations
@@ -217,8 +217,6 @@ CLASSES = {
     "color": COLOR,
     "top_color": TOP_COLOR,
 }
-#: Names up to which the dimension is broadcast.
-BROADCAST_NAMES = 100_000
 
 
 def block_classes(names: DataFrame, *columns: str) -> DataFrame:
@@ -227,12 +225,5 @@ def block_classes(names: DataFrame, *columns: str) -> DataFrame:
 
 
 def classified(blocks: DataFrame, *columns: str) -> DataFrame:
-    """blocks with classes of their names. Names are few; past BROADCAST_NAMES of them the join is left to Spark."""
-    dim = block_classes(blocks, *columns)
-    few = dim.select(F.count("*")).limit(1).first()[0] <= BROADCAST_NAMES
-    return blocks.join(F.broadcast(dim) if few else dim, "name", "left")
-
-
-def with_classes(blocks: DataFrame, *columns: str) -> DataFrame:
-    """blocks with classes worked out row by row: no join; for few classes."""
-    return blocks.select("*", *[F.expr(CLASSES[c]).alias(c) for c in columns or CLASSES])
+    """blocks with classes of their names (all by default), worked out row by row: no pass over the names, and no join."""
+    return blocks.select("*", *[F.when(F.col("name").isNotNull(), F.expr(CLASSES[c])).alias(c) for c in columns or CLASSES])
