@@ -7,7 +7,7 @@ grouped minima. Components are ordered by their first block: highest first, then
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import packed
@@ -15,6 +15,7 @@ from ..functions.names import classified
 from ..functions.storage import stored
 from .graph import connected_components
 from .neighbors import HALF_PLANE8, SIDES6, SQUARE9_BELOW, neighbors, stepped
+from .order import numbered
 
 TINY = 5
 
@@ -103,7 +104,7 @@ def merged(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     between = stored(sandwiched(claims, blocks), "building-between")
     roots = connected_components(touching(claims).unionByName(between.select("a", "b").distinct()), "a", "b")
     owners = claims.select("comp").distinct().join(roots.select(F.col("node").alias("comp"), F.col("component").alias("root")), "comp", "left").select("comp", F.coalesce("root", "comp").alias("root"))
-    roots = owners.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("building_id"))  # a row per building
+    roots = numbered(owners.select("root").distinct(), ["root"], "building_id").withColumn("building_id", F.col("building_id").cast("int"))
     labels = owners.join(roots, "root").select("comp", "building_id")
     own = claims.join(labels, "comp").select("building_id", "x", "y", "z", F.lit(False).alias("absorbed"))
     joined = between.join(labels.withColumnRenamed("comp", "a"), "a").groupBy("x", "y", "z").agg(F.min("building_id").alias("building_id"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neighbors import exposed
+from .order import numbered
 
 # Corners of each face, in drawing order, by normal; material colours.
 CORNERS = {
@@ -37,15 +38,9 @@ def faces(blocks: DataFrame, solid: DataFrame | None = None, within: tuple[str,
 
 
 def vertices(quads: DataFrame) -> DataFrame:
-    """(vid, x, y, z): distinct corners, numbered from 1 in the order of x, y, z.
-
-    Numbers come from counts per x and a running sum over those, so no task sorts all vertices.
-    """
+    """(vid, x, y, z): distinct corners, numbered from 1 in the order of x, y, z."""
     corner = quads.select(F.explode("corners").alias("c")).select(*[F.col("c")[k].alias(n) for k, n in enumerate("xyz")]).distinct()
-    sums = corner.groupBy("x").agg(F.count("*").alias("n"))
-    before = sums.select("x", (F.sum("n").over(Window.orderBy("x")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("x").orderBy("y", "z"))
-    return corner.withColumn("k", inside).join(before, "x").select((F.col("before") + F.col("k")).alias("vid"), "x", "y", "z")
+    return numbered(corner, ["x", "y", "z"], "vid", 1).select("vid", "x", "y", "z")
 
 
 def indexed(quads: DataFrame, vertex: DataFrame, material: str) -> DataFrame:

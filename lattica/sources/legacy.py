@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import order as orders
+
 _LINE = r"^(?:(-?\d+):)?(-?\d+):(-?\d*):(-?\d+)\.(-?\d+)\.(-?\d+)\r?$"
 
 
@@ -35,15 +37,10 @@ def numbered(lines: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, key: str, descending: bool, order: list[str], name: str) -> DataFrame:
     """rows with their place from 1 in the order of key (from the greatest down if descending), then of the columns order.
 
-    Places are counted within the values of key, after the counts of values before it: no task holds all rows. A minus sign
-    before a column of order turns it.
+    A minus sign before a column of order turns it.
     """
     turned = lambda c: F.desc(c[1:]) if c.startswith("-") else F.asc(c)
-    first = F.desc(key) if descending else F.asc(key)
-    sums = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    before = sums.select(key, (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(key).orderBy(*map(turned, order)))
-    return rows.withColumn("_k", inside).join(before, key).withColumn(name, F.col("_before") + F.col("_k")).drop("_k", "_before")
+    return orders.numbered(rows, [F.desc(key) if descending else F.asc(key), *map(turned, order)], name, 1)
 
 
 def sorted_by_height(lines: DataFrame) -> DataFrame:
@@ -55,5 +52,4 @@ def sorted_by_height(lines: DataFrame) -> DataFrame:
 
 def reversed_lines(lines: DataFrame) -> DataFrame:
     """(line_no, value, place): the last line first."""
-    rows = lines.withColumn("block", F.shiftright("line_no", 16))
-    return ranked(rows, "block", True, ["-line_no"], "place").drop("block")
+    return ranked(lines, "line_no", True, [], "place")
