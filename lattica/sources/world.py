@@ -156,7 +156,8 @@ def write_world(rows: DataFrame, folder: str, widths: dict[str, int] | None = No
     """Writes rows (id, prop, x, y, z and, if there, ns) to a folder, a compressed file per partition that has any.
 
     Returns the files: path, records, bytes. Widths are inferred by one aggregate unless given. Each file has its own
-    header. Writing is retried safely: a file gets its name when it is whole. The files' table is evaluated here.
+    header. Writing is retried safely: a file gets its name when it is whole. The files' table is evaluated here. A null in
+    any column is an error.
     """
     from ..functions.storage import stored
 
@@ -182,6 +183,8 @@ def write_world(rows: DataFrame, folder: str, widths: dict[str, int] | None = No
                 draft = f"{own}.{uuid.uuid4().hex}.draft"
                 file = system.open_output_stream(draft, compression=None)
                 file.write(press.compress(header))
+            if missing := [c for k, c in enumerate(names) if batch.column(k).null_count]:
+                raise ValueError(f"rows without {', '.join(missing)}: their names or properties are in no dictionary")
             columns = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
             file.write(press.compress(encoded_records(columns, widths)))
             n += batch.num_rows
