@@ -378,6 +378,24 @@ def log_reach(spark, d):
     return trees.reached_logs(trees.components(_cells(spark, d)))
 
 
+@query(
+    _TREES
+    + ", logs AS (SELECT tree_id, node, x, y, z, material, axis, material = 'log' AND axis IN ('x', 'z') AS lies FROM trees WHERE material IN ('log', 'wood')), sides(dx, dy, dz) AS (VALUES (1,0,0), (-1,0,0), (0,1,0), (0,-1,0), (0,0,1), (0,0,-1)), reach(node) AS (SELECT node FROM logs WHERE material = 'wood' OR axis = 'y' UNION SELECT b.node FROM reach r JOIN logs a ON a.node = r.node, sides s JOIN logs b ON b.tree_id = a.tree_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND (NOT a.lies OR dy = 0)) SELECT tree_id, node FROM logs JOIN reach USING (node)",
+    recursive=True,
+)
+def log_reach_approx(spark, d):
+    return trees.reached_logs(trees.components(_cells(spark, d), exact=False))
+
+
+@query(
+    _TREES
+    + ", boxes AS (SELECT tree_id, min(x) AS x0, min(z) AS z0, least(max(x) - min(x), max(z) - min(z)) + 1 AS least_side FROM trees GROUP BY tree_id), runs AS (SELECT *, max(x) OVER (PARTITION BY tree_id, y, z, island) - x + 1 AS side FROM (SELECT tree_id, x, y, z, material, x - row_number() OVER (PARTITION BY tree_id, y, z ORDER BY x) AS island FROM trees)), starts AS (SELECT r.* FROM runs r JOIN boxes b USING (tree_id) WHERE material IN ('log', 'wood') AND side <= least_side - greatest(x - x0, z - z0)), around AS (SELECT s.tree_id, s.x, s.y, s.z, s.side, count(*) AS n, count(*) FILTER (WHERE t.x BETWEEN s.x AND s.x + side - 1 AND t.z BETWEEN s.z AND s.z + side - 1) AS inside FROM starts s JOIN trees t ON t.tree_id = s.tree_id AND t.y = s.y AND t.x BETWEEN s.x - 1 AND s.x + side AND t.z BETWEEN s.z - 1 AND s.z + side GROUP BY ALL) SELECT DISTINCT tree_id, x, z FROM around WHERE n = side * side AND inside = n",
+    recursive=True,
+)
+def square_cells_approx(spark, d):
+    return trees.square_columns(trees.components(_cells(spark, d), exact=False))
+
+
 @query(
     _TREES
     + ", lying AS (SELECT * FROM trees WHERE material = 'log' AND axis IN ('x', 'z')) SELECT l.tree_id, l.node FROM lying l WHERE NOT EXISTS (SELECT 1 FROM trees o WHERE o.tree_id = l.tree_id AND o.y = l.y AND o.x BETWEEN l.x - 1 AND l.x + 1 AND o.z BETWEEN l.z - 1 AND l.z + 1 AND o.node <> l.node AND (o.axis = '' OR (o.axis <> l.axis AND ((l.axis = 'x' AND o.z = l.z) OR (l.axis = 'z' AND o.x = l.x)))))",
@@ -539,11 +557,40 @@ def structure_faces(spark, d):
     return report.structure_faces(_structures(spark, d)).select("building_id", *_place("dx", "dy", "dz", "face_color"))
 
 
-@query()
+_SIDES = "sides(dx, dy, dz) AS (VALUES (1,0,0), (-1,0,0), (0,1,0), (0,-1,0), (0,0,1), (0,0,-1))"
+_SHOWN = f"{_SIDES}, shown AS (SELECT building_id, x, y, z, dx, dy, dz, CASE WHEN dy = 1 AND top_color IS NOT NULL THEN top_color ELSE color END AS face_color FROM parts p, sides s WHERE shape = 'cube' AND NOT EXISTS (SELECT 1 FROM parts o WHERE o.shape = 'cube' AND o.building_id = p.building_id AND o.x = p.x + dx AND o.y = p.y + dy AND o.z = p.z + dz))"
+_TRI = "tri(t, o, k) AS (VALUES (0,0,0), (0,1,1), (0,2,2), (1,0,0), (1,1,2), (1,2,3))"
+_TILES = ", ".join(f"CAST(floor({c} / 16.0) AS INT) AS tile_{c}" for c in "xyz")
+
+
+def _json_sql(keys: str = "", tiles: str = "") -> str:
+    """Structures as JSON text; keys: further columns that structures are kept apart by, tiles: how they come about."""
+    order = "ORDER BY x, y, z, dx, dy, dz, t, o"
+    kept = "k IN ('axis', 'half', 'powered')"
+    return (
+        _STRUCTURES
+        + f", {_SHOWN}, {_CORNERS}, {_TRI}, points AS (SELECT building_id, face_color, f.x, f.y, f.z, dx, dy, dz, t, o, (f.x + cx) || ',' || (f.y + cy) || ',' || (f.z + cz) AS p, dx || ',' || dy || ',' || dz AS q{tiles.replace('(x', '(f.x').replace('(y', '(f.y').replace('(z', '(f.z')} FROM shown f JOIN corner USING (dx, dy, dz) JOIN tri USING (k)), "
+        + f"mesh AS (SELECT building_id{keys}, face_color, '{{\"color\":\"' || face_color || '\",\"pos\":[' || string_agg(p, ',' {order}) || '],\"nrm\":[' || string_agg(q, ',' {order}) || ']}}' AS m FROM points GROUP BY building_id{keys}, face_color), "
+        + f"meshes AS (SELECT building_id{keys}, string_agg(m, ',' ORDER BY face_color) AS m FROM mesh GROUP BY ALL), "
+        + f"pairs AS (SELECT building_id, x, y, z, split_part(kv, '=', 1) AS k, split_part(kv, '=', 2) AS v FROM (SELECT building_id, x, y, z, unnest(string_split(prop, ',')) AS kv FROM parts WHERE shape <> 'cube')), "
+        + f"own AS (SELECT building_id, x, y, z, '\"p\":{{' || string_agg('\"' || k || '\":\"' || v || '\"', ',' ORDER BY k) || '}}' AS p FROM pairs WHERE {kept} GROUP BY building_id, x, y, z), "
+        + f"lone AS (SELECT *{tiles}, '{{\"x\":' || x || ',\"y\":' || y || ',\"z\":' || z || ',\"n\":\"' || name || '\",\"s\":\"' || shape || '\",\"c\":\"' || color || '\"' || coalesce(',\"t\":\"' || top_color || '\"', '') || coalesce(',' || p, '') || '}}' AS b FROM parts LEFT JOIN own USING (building_id, x, y, z) WHERE shape <> 'cube'), "
+        + f"blocks AS (SELECT building_id{keys}, string_agg(b, ',' ORDER BY x, y, z) AS b FROM lone GROUP BY ALL), "
+        + f"boxes AS (SELECT building_id{keys}, min(x) || ',' || min(y) || ',' || min(z) || ',' || max(x) || ',' || max(y) || ',' || max(z) AS box, count(*) AS n FROM (SELECT *{tiles} FROM parts) GROUP BY ALL) "
+        + f"SELECT building_id AS id{keys}, '{{\"id\":' || building_id || ',\"blocks\":[' || coalesce(b, '') || '],\"cubeMeshes\":[' || coalesce(m, '') || '],\"bbox\":[' || box || '],\"count\":' || n || '}}' AS json FROM boxes LEFT JOIN blocks USING (building_id{keys}) LEFT JOIN meshes USING (building_id{keys})"
+    )
+
+
+@query(_json_sql())
 def structure_json(spark, d):
     return report.as_json(_structures(spark, d))
 
 
+@query(_json_sql(", tile_x, tile_y, tile_z", f", {_TILES}"))
+def structure_tiles(spark, d):
+    return report.tiles(_structures(spark, d)).select("id", "tile_x", "tile_y", "tile_z", F.to_json(F.struct("id", "blocks", "cubeMeshes", "bbox", "count")).alias("json"))
+
+
 @query("SELECT k, comp FROM (SELECT l_partkey AS k, 0 AS comp FROM lineitem WHERE false)")
 def empty_components(spark, d):
     none = spark.read.parquet(f"{d}/lineitem.parquet").where("false").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))

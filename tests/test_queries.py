@@ -8,8 +8,6 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
-#: Loops over components and levels, which take long; their operators are tested on small worlds.
-SLOW = {"tree_components", "tree_classify", "stump_ground", "stump_select", "foliage_attach", "axis_check", "building_merge", "building_rewrite", "touch_pairs", "sandwich_pairs", "discard_tiny", "discard_uniform", "below_footprint"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +25,7 @@ def plain(value):
     return tuple(map(plain, value)) if isinstance(value, (list, tuple)) else value
 
 
-@pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if k not in SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, DIR)
     columns = sorted(df.columns)
