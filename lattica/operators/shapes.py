@@ -23,6 +23,8 @@ class Plane:
         self.filled, self.shape = filled, filled.shape
         self.sums = [np.pad(np.cumsum(np.cumsum(a.astype(np.int64), 0), 1), ((1, 0), (1, 0))) for a in (filled, filled & ~under, np.ones_like(filled))]
         solid = filled & ~under
+        #: Lengths of the runs of filled cells to greater x.
+        self.run = _runs(filled[::-1])[::-1]
         #: Lengths of the runs of solid cells from a cell on: to greater x, lesser x, greater z, lesser z.
         self.right, self.left = _runs(solid[::-1])[::-1], _runs(solid)
         self.down, self.up = _runs(solid[:, ::-1].T).T[:, ::-1], _runs(solid.T).T
@@ -132,14 +134,11 @@ def inside_cells(plane: Plane, i: int, j: int, size: tuple[int, int, int, int],
 
 
 def is_square(plane: Plane, i: int, j: int) -> bool:
-    """Whether an isolated filled square begins at (i, j)."""
-    for box in range(3, min(plane.shape) + 2 - max(i, j) + 1):
-        a, b = i - 1, j - 1
-        frame = [(a, b, a + 1, b + box), (a + box - 1, b, a + box, b + box), (a, b, a + box, b + 1), (a, b + box - 1, a + box, b + box)]
-        inner = (a + 1, b + 1, a + box - 1, b + box - 1)
-        if all(plane.empty(*f) for f in frame) and plane.total(0, *inner) == plane.total(2, *inner):
-            return True
-    return False
+    """Whether an isolated filled square begins at (i, j): its side is the run of filled cells from there on."""
+    n = int(plane.run[i, j])
+    if not 0 < n <= min(plane.shape) - max(i, j):
+        return False
+    return plane.total(0, i, j, i + n, j + n) == plane.total(0, i - 1, j - 1, i + n + 1, j + n + 1) == n * n
 
 
 def l_cells(plane: Plane, anchors: list[tuple[int, int]]) -> set[tuple[int, int]]:
