@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +121,8 @@ def adoption_edges(cells: DataFrame, same_variety: bool = True, within: str | No
             edges += [(node_up[a], node_low[b]) for a, b in adopt(upper, lower, same_variety)]
         return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
 
-    return both.groupBy("cluster", "level").applyInPandas(link, "src long, dst long")
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be put together
+    return both.repartition(n, "cluster", "level").groupBy("cluster", "level").applyInPandas(link, "src long, dst long")
 
 
 def components(cells: DataFrame, exact: bool = True) -> DataFrame:
@@ -180,18 +182,21 @@ def _by_layer(trees: DataFrame, find: Callable[[Plane, list], set]) -> DataFrame
     logged = rows.where("wood").select("tree_id", F.col("y").alias("level")).distinct()  # a layer without logs has nothing to find
     both = both.join(logged, ["tree_id", "level"], "left_semi")
 
-    def look(part: pd.DataFrame) -> pd.DataFrame:
-        x, z = int(part.min_x.iloc[0]), int(part.min_z.iloc[0])
-        shape = int(part.max_x.iloc[0]) - x + 1, int(part.max_z.iloc[0]) - z + 1
-        filled, under = np.zeros(shape, bool), np.zeros(shape, bool)
-        here, low = part[~part.under], part[part.under]
-        filled[here.x - x, here.z - z] = True
-        under[low.x - x, low.z - z] = True
-        wood = here[here.wood.astype(bool)]
-        found = sorted(find(Plane(filled, under), sorted(zip(wood.x - x, wood.z - z, strict=True)))) if len(wood) else []
-        return pd.DataFrame({"tree_id": part.tree_id.iloc[0], "x": [a + x for a, _ in found], "z": [b + z for _, b in found]}).astype({"x": "int32", "z": "int32", "tree_id": "int64"})
-
-    return both.groupBy("tree_id", "level").applyInPandas(look, "tree_id long, x int, z int").distinct()
+    schema = pa.schema([("tree_id", pa.int64()), ("x", pa.int32()), ("z", pa.int32())])
+
+    def look(part: pa.Table) -> pa.Table:
+        of = {c: part.column(c).to_numpy() for c in ("x", "z", "wood", "under")}
+        tree, x, z, end_x, end_z = (part.column(c)[0].as_py() for c in ("tree_id", "min_x", "min_z", "max_x", "max_z"))
+        at_x, at_z, low = of["x"] - x, of["z"] - z, of["under"].astype(bool)
+        filled, under = np.zeros((end_x - x + 1, end_z - z + 1), bool), np.zeros((end_x - x + 1, end_z - z + 1), bool)
+        filled[at_x[~low], at_z[~low]] = True
+        under[at_x[low], at_z[low]] = True
+        wood = of["wood"].astype(bool) & ~low
+        found = sorted(find(Plane(filled, under), sorted(zip(at_x[wood].tolist(), at_z[wood].tolist(), strict=True)))) if wood.any() else []
+        return pa.Table.from_arrays([pa.array([tree] * len(found), pa.int64()), *(pa.array([int(p[k]) + first for p in found], pa.int32()) for k, first in ((0, x), (1, z)))], schema=schema)
+
+    n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be put together
+    return both.repartition(n, "tree_id", "level").groupBy("tree_id", "level").applyInArrow(look, "tree_id long, x int, z int").distinct()
 
 
 def l_columns(trees: DataFrame) -> DataFrame:
