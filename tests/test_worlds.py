@@ -231,3 +231,11 @@ def test_buildings_are_discarded_and_merged(spark):
     assert (23, 5, 1) not in ids and (40, 5, 0) not in ids and (50, 5, 0) not in ids and (60, 5, 0) in ids
     assert sorted(set(ids.values())) == list(range(4)) and {(r.x, r.y, r.z) for r in found if r.absorbed} == {(3, 5, 1)}
     assert buildings.find_buildings(as_world(spark, {(0, 0, 0): ("stone", "None")})).count() == 0
+
+
+def test_reach_that_stops_short_is_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(25)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    with pytest.raises(RuntimeError):
+        reachable(seeds, path, max_rounds=5)
+    assert {r.node for r in reachable(seeds, path).collect()} == set(range(26))  # past the round in which tables are put together
