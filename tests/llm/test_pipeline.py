@@ -69,3 +69,22 @@ def test_pipeline(spark, tmp_path):
             assert start == at
             at += length
         assert at == total if total is not None else at <= 4096
+
+
+def test_stages_keep_columns_of_any_name_and_rows_of_shared_ids(spark, tmp_path):
+    rows, items = small_tables()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    extra = {"_spans": "mine", "_lang": "l", "_score": "s", "kept_id": "k", "again": "a", "_row": "r", "spans": "p", "fp": "f", "own": "o", "root": "t", "hash": "h", "words": "w", "doc": "d", "item": "i"}
+    rows += [(7, "an unrelated text of its own under an id that another row has as well", "en", "z", 1), (None, "a text without an id that no other row is near to, in eleven words", None, None, None)]
+    docs = spark.createDataFrame([(*r, *extra.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        if name == "pack":
+            assert {r.doc_id for r in got.collect()} == {r[0] for r in rows}
+            continue
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert {tuple(r[c] for c in extra) for r in kept} == {tuple(extra.values())}, name
+        texts = [r.text for r in kept if r.doc_id == 7]
+        assert len(texts) == 2 and None in {r.doc_id for r in kept}, name
