@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, negatives, packing, secrets, simhash, token_counts, toxicity, warc, wavelet
+from . import decontam, langid, lexical, media, negatives, packing, secrets, simhash, token_counts, toxicity, warc, wavelet
 from .common import tables
 
 
@@ -86,6 +86,30 @@ QUALIFY rank <= 5
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical.ranked(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"), 10)
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), items AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+), about AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM docs WHERE len(terms) > 0
+), postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, about WHERE term IN (SELECT term FROM items) GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), about GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_wavelet_shards,
@@ -99,9 +123,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_entropy_secrets,
         op10_ordinal_toxicity,
         op12_hard_negatives,
+        op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_hard_negatives": OP12_SQL}
+    return {"op12_hard_negatives": OP12_SQL, "op13_lexical_search": OP13_SQL}
