@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lexical, media, negatives, packing, secrets, simhash, token_counts, toxicity, warc, wavelet
+from . import decontam, langid, lexical, lm, media, negatives, packing, secrets, simhash, token_counts, toxicity, warc, wavelet
 from .common import tables
 
 
@@ -61,6 +61,14 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, tables(spark, sf_dir, "labels")))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    docs = tables(spark, sf_dir, "documents").withColumn("held_out", lm.held_out())
+    model = lm.train(docs.where("not held_out"))
+    found = lm.score(docs, model)
+    return found.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives for each hundredth vector, after every seventh label has been made wrong."""
     rows = tables(spark, sf_dir, "embeddings")
@@ -122,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_spaced_seed_decontamination,
         op9_entropy_secrets,
         op10_ordinal_toxicity,
+        op11_language_model,
         op12_hard_negatives,
         op13_lexical_search,
     )

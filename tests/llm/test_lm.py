@@ -1,0 +1,105 @@
+"""Operator 11 against exact counts, a plain filter and the definition of the base score."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lattica.llm import lm
+
+
+def plain_tokens(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
+
+
+def level(count, s):
+    j = 0
+    while math.ceil(s.factor**j) <= count:
+        j += 1
+    return j
+
+
+def plain_scores(training, texts, s):
+    """base score, known tokens and model score of each text, from exact counts put into levels (as if no probe were ever wrong)."""
+    counts = Counter(t for x in training for t in plain_tokens(x))
+    grams = Counter()
+    for x in training:
+        line = [None, *plain_tokens(x)]
+        for n in range(2, s.order + 1):
+            grams.update(tuple(line[i : i + n]) for i in range(len(line) - n + 1))
+    total, words = sum(counts.values()), len(counts)
+    middle = s.expected()
+    value = lambda g: middle[level(counts[g[0]] if len(g) == 1 else grams[g], s)]
+    out = []
+    for x in texts:
+        line = [None, *plain_tokens(x)]
+        base = sum(math.log10((counts[t] + 1) / (total + words + 1)) for t in line[1:])
+        score = 0.0
+        for i in range(1, len(line)):
+            p = (value((line[i],)) + 1) / (total + words + 1)
+            for n in range(2, min(s.order, i + 1) + 1):
+                g = tuple(line[i - n + 1 : i + 1])
+                history = value(g[:-1])
+                p = (min(value(g), history) + s.prior * p) / (history + s.prior)
+            score += math.log10(p)
+        out.append((len(line) - 1, sum(counts[t] > 0 for t in line[1:]), base, score))
+    return total, out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_are_those_of_exact_counts(docs, rows, none, order):
+    s = lm.Settings(order=order, bits=40, hashes=12, block_text=20_000)  # so many bits that no probe is wrong
+    model = lm.train(docs.where(~lm.held_out()), s)
+    training = [t for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2]
+    total, want = plain_scores(training, [t for _, t in rows], s)
+    assert model.tokens == total and model.words == len({t for x in training for t in plain_tokens(x)})
+    assert model.blocks.count() > 1 and lm.score(none, model).count() == 0
+
+    def key(r):
+        return (str(r[0]), r[1], round(r[3], 4))
+
+    want = sorted(((i, *w) for (i, _), w in zip(rows, want)), key=key)
+    few = lm.Model(model.blocks, model.vocabulary, model.shift, model.tokens, model.words, model.size, lm.Settings(order=order, bits=40, hashes=12, block_text=20_000, frequent=50))
+    for used, way in ((model, 1 << 30), (few, 1 << 30), (few, 0)):  # all words broadcast, some, and the filter by shuffles
+        used = lm.Model(used.blocks, used.vocabulary, used.shift, used.tokens, used.words, way and used.size, used.settings) if way else lm.Model(used.blocks, used.vocabulary, used.shift, used.tokens, used.words, 1 << 40, used.settings)
+        got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, used).collect()), key=key)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert np.allclose([g[3:] for g in got], [w[3:] for w in want], rtol=1e-9)
+
+
+def test_filter_holds_every_level_and_little_else():
+    rng, s = random.Random(1), lm.Settings()
+    keys = np.array(sorted({rng.getrandbits(64) for _ in range(20000)}), np.uint64)
+    counts = np.array([max(1, int(rng.paretovariate(0.8))) for _ in keys], np.int64)
+    bits, entries = lm.block(keys, counts, s)
+    held = lm.Filter({0: bits}, 64, s)
+    levels = np.array([level(int(c), s) for c in counts])
+    assert entries == levels.sum() and len(bits) * 8 <= s.bits * entries + 64
+    got = held.levels(keys)
+    assert (got >= levels).all() and (got > levels).mean() < 0.03
+    assert (held.levels(np.array([rng.getrandbits(64) for _ in range(20000)], np.uint64)) > 0).mean() < 0.03
+    assert lm.Filter({}, 60, s).levels(keys).sum() == 0
+    assert s.thresholds()[0] == 1 and s.expected()[:3].tolist() == [0, 1, 2]
+
+
+def test_no_training_and_words_of_any_kind(spark):
+    odd = spark.createDataFrame([(1, "a\x1cb a\x1cB AÉ aé\x85x \x0b\x0ca"), (2, None), (3, ""), (4, "z" * 300_000)], "doc_id long, text string")
+    model = lm.train(odd.where("false"))
+    assert (model.tokens, model.words, model.size) == (0, 0, 0)
+    got = {r.doc_id: r for r in lm.score(odd, model).collect()}
+    assert [got[k].n_tokens for k in (1, 2, 3, 4)] == [6, 1, 1, 2] and all(r.n_known == 0 and r.base_score == 0 for r in got.values())
+
+
+def test_a_text_of_the_kind_scores_higher(docs):
+    model = lm.train(docs)
+    spark = docs.sparkSession
+    line = docs.where("doc_id = 49").first().text.split(" ")[:200]
+    shuffled = random.Random(2).sample(line, len(line))
+    texts = spark.createDataFrame([(1, " ".join(line)), (2, " ".join(shuffled)), (3, " ".join(w[::-1] + "q" for w in line))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(texts, model).collect()}
+    assert got[1] > got[2] > got[3]
