@@ -8,17 +8,19 @@ smoothed by those of the next lower one (a Dirichlet prior), down to single word
 N-grams are 64-bit hashes, counted before they are shuffled and sent to one block of the filter by their leading bits; a block is
 as large as its entries need. Up to a bound the blocks are broadcast. Beyond, texts are grouped, the n-grams of a group are sent to
 their blocks and come back with their levels: the same filter, the same scores. Exact counts of words, for the base score, are
-broadcast for those with over a set share of all tokens (which bounds their number) and joined for the rest.
+broadcast for a bounded number of the most frequent words and joined for the rest.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ class Settings:
     block_text: int = 16 << 20
     #: Bytes up to which the filter is broadcast.
     broadcast_bytes: int = 128 << 20
-    #: Words with over one in so many tokens, of which there are fewer than that, have their counts broadcast.
+    #: The counts of up to so many of the most frequent words are broadcast.
     frequent: int = 100_000
 
     def thresholds(self) -> np.ndarray:
@@ -73,7 +75,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Grams:
     """The tokens of texts (each ending with the end), and their n-grams by order, hashed."""
 
-    def __init__(self, texts: pa.Array, order: int):
+    def __init__(self, texts: pa.Array, order: int, scoring: bool = True):
         lists = pc.ascii_split_whitespace(lower_ascii(texts))
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
@@ -96,6 +98,11 @@ class Grams:
         self.at[0][self.codes] = np.arange(len(self.codes))
         before = np.concatenate(([0], self.codes[:-1]))  # every text begins after an end
         for n in range(2, order + 1):
+            if n == order and not scoring:  # for counts alone, the last order needs no places
+                pair, times = np.unique((before * len(hashes) + self.codes)[place >= n - 2], return_counts=True)
+                self.times.append(times)
+                self.hashes.append(mixed(self.hashes[-1][pair // len(hashes)] * np.uint64(MIX[0]) + hashes[pair % len(hashes)] + np.uint64(n)))
+                break
             whole = np.flatnonzero(place >= n - 2)
             pair, first, inverse, times = np.unique(before[whole] * len(hashes) + self.codes[whole], return_index=True, return_inverse=True, return_counts=True)
             ids = np.full(len(self.codes), -1, np.int64)
@@ -190,6 +197,18 @@ class Model:
     size: int
     settings: Settings
 
+    def frequent_from(self) -> int:
+        """The least count, of a power of the fourth root of 2, that at most settings.frequent words have."""
+        step = F.floor(F.log2("n") * 4 + 1e-9).cast("int")
+        found = {r.step: r.n for r in self.vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}  # a few hundred rows
+        total, least = 0, None
+        for s in sorted(found, reverse=True):
+            total += found[s]
+            if total > self.settings.frequent:
+                break
+            least = s
+        return (1 << 62) if least is None else math.ceil(2 ** (least / 4) - 1e-6)
+
 
 def _by_block(keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, begin, end) of the blocks that ascending keys lie in."""
@@ -203,6 +222,18 @@ def _packed(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, dtype: str) ->
     return [data[a * size : b * size] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
+def _pressed(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Pieces of whole numbers as their steps, byte by byte in planes, compressed."""
+    press, values = zstandard.ZstdCompressor(level=1), values.astype("<u8")
+    steps = lambda x: np.concatenate((x[:1], x[1:] - x[:-1]))
+    return [press.compress(np.ascontiguousarray(steps(values[a:b]).view(np.uint8).reshape(-1, 8).T).tobytes()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def _large_texts(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
@@ -215,11 +246,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     pieces = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
     def count(batches):
-        for batch in sliced(batches, column=0, rows=1 << 20, size=settings.block_text * 2):
-            grams = Grams(_large_texts(batch.column(0)), settings.order)
+        for batch in sliced(batches, column=0, rows=1 << 20, size=settings.block_text):
+            grams = Grams(_large_texts(batch.column(0)), settings.order, scoring=False)
             keys, times = grams.counted()
             at, begin, end = _by_block(keys, shift)
-            yield arrow_batch(pieces, [at, _packed(keys, begin, end, "<u8"), _packed(times, begin, end, "<u4"), pa.nulls(len(at), pieces.field("words").type), pa.nulls(len(at), pieces.field("n").type)])
+            yield arrow_batch(pieces, [at, _pressed(keys, begin, end), _pressed(times, begin, end), pa.nulls(len(at), pieces.field("words").type), pa.nulls(len(at), pieces.field("n").type)])
             own = grams.times[0]
             used = np.flatnonzero(own[1:])
             words = ["", *grams.words.take(pa.array(used)).to_pylist()]
@@ -228,8 +259,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     held = pa.schema([("block", pa.int64()), ("bits", pa.binary()), ("entries", pa.int64())])
 
     def fill(part: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), "<u8")
-        times = np.frombuffer(b"".join(part.column("times").to_pylist()), "<u4").astype(np.int64)
+        keys = np.concatenate([_unpressed(x).cumsum(dtype=np.uint64) for x in part.column("keys").to_pylist()])
+        times = np.concatenate([_unpressed(x).cumsum(dtype=np.uint64) for x in part.column("times").to_pylist()]).astype(np.int64)
         order = np.argsort(keys)
         keys, times = keys[order], times[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -249,11 +280,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
 # --- scores ---------------------------------------------------------------------------------------
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, frequent_from: int):
     """A function of (keys, ids, texts, levels) to a batch of RESULT: all but what rare words add to the base score."""
     spark = model.vocabulary.sparkSession
     settings, tokens, words, order = model.settings, model.tokens, model.words, model.settings.order
-    frequent = model.vocabulary.where(F.col("n") * settings.frequent > tokens).collect()  # fewer than settings.frequent rows
+    frequent = model.vocabulary.where(F.col("n") >= frequent_from).collect()  # up to settings.frequent rows
     end = next((r.n for r in model.vocabulary.where("word = ''").collect()), 0)
     known = spark.sparkContext.broadcast((pa.array([r.word for r in frequent if r.word], pa.large_string()), np.array([r.n for r in frequent if r.word], np.float64)))
     whole = tokens + 1 * (words + 1)
@@ -279,9 +310,9 @@ def _scorer(model: Model):
     return score, schema
 
 
-def _scored_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+def _scored_broadcast(rows: DataFrame, model: Model, frequent_from: int) -> DataFrame:
     """RESULT for rows (key, doc_id, text), with the filter broadcast."""
-    score, _ = _scorer(model)
+    score, _ = _scorer(model, frequent_from)
     blocks = {r.block: bytes(r.bits) for r in model.blocks.select("block", "bits").collect()}  # up to settings.broadcast_bytes
     held = rows.sparkSession.sparkContext.broadcast(Filter(blocks, model.shift, model.settings))
 
@@ -292,9 +323,9 @@ def _scored_broadcast(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, RESULT)
 
 
-def _scored_shuffled(rows: DataFrame, model: Model) -> DataFrame:
+def _scored_shuffled(rows: DataFrame, model: Model, frequent_from: int) -> DataFrame:
     """RESULT for rows (key, doc_id, text): n-grams of groups of texts are sent to their blocks and come back with levels."""
-    score, schema = _scorer(model)
+    score, schema = _scorer(model, frequent_from)
     settings, shift = model.settings, model.shift
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -342,10 +373,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     rows = columns_as(docs, doc_id="doc_id", text="text").select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     way = _scored_broadcast if model.size <= model.settings.broadcast_bytes else _scored_shuffled
-    found = stored(way(rows, model), "lm-scored")
+    frequent_from = model.frequent_from()
+    found = stored(way(rows, model, frequent_from), "lm-scored")
     whole = model.tokens + 1 * (model.words + 1)
     rare = found.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    rare = rare.join(model.vocabulary.where(F.col("n") * model.settings.frequent <= model.tokens), "word", "left")
+    rare = rare.join(model.vocabulary.where(F.col("n") < frequent_from), "word", "left")
     added = rare.groupBy("key").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(whole))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known"))
     out = found.drop("words", "times").join(added, "key", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
