@@ -29,6 +29,8 @@ from .common import arrow_batch, columns_as, lower_ascii, sliced, stored
 #: The odd constants of a common 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 END = xxhash.xxh64_intdigest(b"", 1)
+#: Bytes of text that a task takes apart at once, and n-grams that it adds up before it hands them on.
+SLICE, HELD_GRAMS = 4 << 20, 3 << 20
 RESULT = "key long, doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, times array<long>"
 
 
@@ -246,15 +248,31 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     pieces = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
     def count(batches):
-        for batch in sliced(batches, column=0, rows=1 << 20, size=settings.block_text):
-            grams = Grams(_large_texts(batch.column(0)), settings.order, scoring=False)
-            keys, times = grams.counted()
+        held, size = [], 0
+
+        def close():
+            keys, times = (np.concatenate([h[i] for h in held]) for i in range(2))
+            order = np.argsort(keys)
+            keys, times = keys[order], times[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, times = keys[first], np.add.reduceat(times, first)
             at, begin, end = _by_block(keys, shift)
             yield arrow_batch(pieces, [at, _pressed(keys, begin, end), _pressed(times, begin, end), pa.nulls(len(at), pieces.field("words").type), pa.nulls(len(at), pieces.field("n").type)])
-            own = grams.times[0]
-            used = np.flatnonzero(own[1:])
-            words = ["", *grams.words.take(pa.array(used)).to_pylist()]
-            yield arrow_batch(pieces, [[None], [None], [None], [words], [[int(own[0]), *own[1:][used].tolist()]]])
+            words = pa.concat_tables([h[2] for h in held]).group_by("word").aggregate([("n", "sum")])
+            lists = [pa.ListArray.from_arrays([0, words.num_rows], words.column(c).combine_chunks().cast(kind)) for c, kind in (("word", pa.string()), ("n_sum", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], schema=pieces)
+
+        for batch in sliced(batches, column=0, rows=1 << 20, size=SLICE):
+            grams = Grams(_large_texts(batch.column(0)), settings.order, scoring=False)
+            own = np.flatnonzero(grams.times[0])
+            words = pa.concat_arrays([pa.array([""], pa.large_string()), grams.words]).take(pa.array(own))
+            held.append((*grams.counted(), pa.table({"word": words, "n": grams.times[0][own]})))
+            size += len(held[-1][0])
+            if size >= HELD_GRAMS:
+                yield from close()
+                held, size = [], 0
+        if held:
+            yield from close()
 
     held = pa.schema([("block", pa.int64()), ("bits", pa.binary()), ("entries", pa.int64())])
 
@@ -317,7 +335,7 @@ def _scored_broadcast(rows: DataFrame, model: Model, frequent_from: int) -> Data
     held = rows.sparkSession.sparkContext.broadcast(Filter(blocks, model.shift, model.settings))
 
     def run(batches):
-        for batch in sliced(batches, column=2, rows=1 << 20, size=8 << 20):
+        for batch in sliced(batches, column=2, rows=1 << 20, size=SLICE):
             yield score(batch.column(0), batch.column(1), _large_texts(batch.column(2)), held.value.levels)
 
     return rows.mapInArrow(run, RESULT)
