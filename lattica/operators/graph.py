@@ -2,34 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import dropped, stored
 
 #: Rounds after which the tables of what was reached are put together.
 TOGETHER = 16
+#: Edges that a task joins up at once; more in a partition go in several lots.
+LOT = 1 << 21
 
 
-def _state(edges: DataFrame) -> tuple:
-    """A row that changes when the edges do."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h
+def joined_up(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots): the nodes of edges and the least node of each one's component, by hooking and halving paths."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (nearer := root[root]).tobytes() != root.tobytes():
+            root = nearer
+    return nodes, nodes[root]
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of an edge, component being the component's smallest node.
+def _lots(batches):
+    """(u, v) by batches to (node, root) of each lot's components."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+    held, size = [], 0
+
+    def close():
+        table = pa.Table.from_batches(held)
+        nodes, roots = joined_up(table.column(0).to_numpy(), table.column(1).to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], schema=schema)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= LOT:
+            yield close()
+            held, size = [], 0
+    if held:
+        yield close()
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """df stored, with a row that changes when its edges (u, v) do, taken from the write itself."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
+
 
-    Alternates large-star and small-star steps: each hangs a node's neighbours below the smallest of them, by a grouped
-    minimum (combined before the shuffle) and a join. Rounds grow with the logarithm of the longest path. Each round's
-    edges are written to the shared folder, so a lost executor costs no earlier round. The joins are keyed by node and one side
-    has a row per node, so a hub's rows are one key of the other: adaptive execution splits such a partition. Null ends drop the edge; self
-    loops name their node alone; repeated edges count once; no edges give no rows.
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, root) for the nodes of distinct edges (u, v), u > v, by alternating large and small stars.
+
+    Each step hangs a node's neighbours below the smallest of them, by a grouped minimum (combined before the shuffle) and a join.
+    Rounds grow with the logarithm of the longest path. One side of each join has a row per node, so a hub's rows are one key of
+    the other: adaptive execution splits such a partition. Each round is written to the shared folder, and the one before it goes.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = pairs.where("u = v").select("u").distinct()
-    now = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    state = _state(now)
+    now, state = _written(edges, "cc-edges")
     for _ in range(max_rounds):
         if not state[0]:
             break
@@ -38,16 +73,36 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "cc-edges")
-        state, before = _state(now), state
+        old, before = now, state
+        now, state = _written(small, "cc-edges")
+        dropped(old)
         if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = found.select(F.col("component").alias("node"), "component").distinct()
-    alone = loops.join(found.select(F.col("node").alias("u")).unionByName(roots.select(F.col("node").alias("u"))), "u", "left_anti")
-    return found.unionByName(roots).unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("component")))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, near: Column | None = None) -> DataFrame:
+    """(node, component) for every node of an edge, component being the component's smallest node.
+
+    In two levels. Edges are dealt by ranges of their smaller node, or of near, an expression over edges that is alike for edges
+    that lie together; every task joins up its edges in memory, lot by lot, and hands on a row per node. Nodes that several lots
+    have found join these lots' roots, and only those few edges between roots go through rounds of joins (_stars). All is written to the
+    shared folder on the way. Null ends drop the edge; self loops name their node alone; repeated edges count once; no edges
+    give no rows.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"), (F.least(src, dst) if near is None else near).alias("near")).where("u is not null and v is not null")
+    kind = edges.schema[src].dataType
+    parts = stored(pairs.repartitionByRange(n, "near").select("u", "v").mapInArrow(_lots, "node long, root long"), "cc-parts")
+    between = parts.withColumn("least", F.min("root").over(Window.partitionBy("node"))).where("root <> least")
+    links = between.select(F.col("root").alias("u"), F.col("least").alias("v")).distinct()
+    roots = _stars(links, max_rounds).withColumnRenamed("node", "from").withColumnRenamed("root", "to")
+    found = parts.join(roots, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("component"))
+    found = found.groupBy("node").agg(F.min("component").alias("component"))
+    return found.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 100_000) -> DataFrame:

@@ -1,7 +1,7 @@
 """Trees: found, checked, cleaned and taken out of a block table.
 
 Layers are linked from above by a first-claim rule in scan order. What a layer adopts depends on two adjacent layers
-alone, so all pairs of layers are worked on at once, in groups that cannot touch one another; one run of connected
+alone, so all pairs of layers are worked on at once, in tiles that settle what crosses their edges; one run of connected
 components then joins what is linked. All checks after that are grouped by tree.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +18,15 @@ from ..functions.codec import packed
 from ..functions.names import classified
 from ..functions.props import axis
 from ..functions.storage import stored
+from . import adoption
 from .graph import connected_components, reachable
 from .neighbors import ALL26, CROSS5_BELOW, HALF_PLANE4, PLANE4, PLANE8, SIDES6, neighbors
 from .shapes import Plane, l_cells
+from .tiles import SIDE, settled, with_edges
 
 PLACE = ["x", "y", "z"]
+#: Cells along the side of a tile in which a layer's adoptions are worked out.
+TILE_SIDE = SIDE
 
 
 def _node(prefix: str = "") -> Column:
@@ -64,65 +67,23 @@ def adoption_edges_approx(cells: DataFrame) -> DataFrame:
 
 
 def adopt(upper: dict, lower: dict, guarded: bool) -> list[tuple[tuple, tuple]]:
-    """(upper place, lower place) of all adoptions between two layers, in scan order.
-
-    upper: place -> (variety, adopts), lower: place -> (variety, is_flat, is_wood). The first place above claims a block
-    in its cross and floods from under itself through unclaimed blocks of its variety. If guarded, a flood does not pass
-    from a leaf, or an empty place, to a log that lies flat.
-    """
-    claimed: set = set()
-    out = []
-    for place in sorted(upper):
-        variety, adopts = upper[place]
-        if not adopts:
-            continue
-        i, j = place
-        for at in ((i - 1, j), (i, j - 1), (i, j), (i, j + 1), (i + 1, j)):
-            if at in claimed or at not in lower or lower[at][0] != variety:
-                continue
-            claimed.add(at)
-            out.append((place, at))
-            stack = [place]
-            while stack:
-                a, b = stack.pop()
-                passes = not guarded or ((a, b) in claimed and lower[a, b][2])
-                for near in ((a - 1, b), (a, b - 1), (a, b + 1), (a + 1, b)):
-                    if near in lower and near not in claimed and lower[near][0] == variety and (passes or not lower[near][1]):
-                        claimed.add(near)
-                        out.append((place, near))
-                        stack.append(near)
-    return out
+    """(upper place, lower place) of all adoptions between two whole layers. upper: place -> (variety, adopts), lower: place -> (variety, is_flat, is_wood)."""
+    whole = adoption.Tile(upper, lower, lambda place: True, guarded)
+    whole.run([])
+    return [(time[:2], place) for place, time in whole.claimed.items()]
 
 
 def adoption_edges(cells: DataFrame, same_variety: bool = True, within: str | None = None) -> DataFrame:
-    """(src, dst): exact adoptions between layers. Layers are cut into groups that no possible adoption or flood joins.
+    """(src, dst): exact adoptions between layers, tile by tile, whatever a canopy's size.
 
     same_variety: the rule for trees; otherwise any blocks join (within: a column that must be equal for that).
     """
-    tree = cells.where("material is not null").withColumn("own", F.col(within) if within else F.lit(0).cast("long"))
-    if within:
-        owner = tree.select(F.col("node").alias("src"), F.col("own").alias("a"))
-        inside = lambda e: e.join(owner, "src").join(owner.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst").where("a = b").select("src", "dst")
-    else:
-        inside = lambda e: e
-    possible = inside(in_plane_edges(cells, same_variety)).unionByName(inside(below_edges(cells, same_variety)))
-    groups = connected_components(possible).withColumnRenamed("component", "cluster")
-    flat = F.coalesce(is_wood() & (F.coalesce("axis", F.lit("")) != "y"), F.lit(False))
-    rows = tree.join(groups, "node").select("cluster", "own", *PLACE, "node", (F.col("variety") if same_variety else F.lit(0)).cast("int").alias("variety"), flat.alias("flat"), is_wood().alias("wood"))
-    both = rows.withColumn("level", F.col("y")).withColumn("is_upper", F.lit(True)).unionByName(rows.withColumn("level", F.col("y") + 1).withColumn("is_upper", F.lit(False)))
-
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        edges = []
-        for _, own in part.groupby("own"):
-            up, low = own[own.is_upper], own[~own.is_upper]
-            upper = {(x, z): (v, not f or not same_variety) for x, z, v, f in zip(up.x, up.z, up.variety, up.flat, strict=True)}
-            lower = {(x, z): (v, f and same_variety, w) for x, z, v, f, w in zip(low.x, low.z, low.variety, low.flat, low.wood, strict=True)}
-            node_up, node_low = ({(x, z): n for x, z, n in zip(p.x, p.z, p.node, strict=True)} for p in (up, low))
-            edges += [(node_up[a], node_low[b]) for a, b in adopt(upper, lower, same_variety)]
-        return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
-
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be put together
-    return both.repartition(n, "cluster", "level").groupBy("cluster", "level").applyInPandas(link, "src long, dst long")
+    kind = F.coalesce("variety", F.lit(-1)) if same_variety else F.col(within) if within else F.lit(0)
+    flat = F.coalesce(is_wood() & (F.coalesce("axis", F.lit("")) != "y"), F.lit(False)) if same_variety else F.lit(False)
+    rows = cells.where("material is not null").select("x", "z", "y", kind.cast("long").alias("kind"), flat.alias("flat"), is_wood().alias("wood"))
+    both = F.explode(F.array(F.struct(F.col("y").alias("level"), F.lit(True).alias("is_upper")), F.struct((F.col("y") + 1).alias("level"), F.lit(False).alias("is_upper"))))
+    rows = rows.select("*", both.alias("in")).select("x", "z", "in.level", "in.is_upper", "kind", "flat", "wood")
+    return settled(with_edges(rows, TILE_SIDE), adoption.look(same_variety, TILE_SIDE), "src long, dst long", "adoption")
 
 
 def components(cells: DataFrame, exact: bool = True) -> DataFrame:
