@@ -30,7 +30,7 @@ from .common import arrow_batch, columns_as, lower_ascii, sliced, stored
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 END = xxhash.xxh64_intdigest(b"", 1)
 #: Bytes of text that a task takes apart at once, and n-grams that it adds up before it hands them on.
-SLICE, HELD_GRAMS = 4 << 20, 3 << 20
+SLICE, HELD_GRAMS = 2 << 20, 1 << 20
 RESULT = "key long, doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, times array<long>"
 
 
