@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import dropped
 from .common import arrow_batch, columns_as, lower_ascii, sliced, stored
 
 #: The odd constants of a common 64-bit mixing function.
@@ -45,7 +46,7 @@ class Settings:
     #: How many tokens of a history the lower order weighs as much as.
     prior: float = 32.0
     #: Bytes of text for each block of the filter, and of a group where the filter is not broadcast.
-    block_text: int = 16 << 20
+    block_text: int = 4 << 20
     #: Bytes up to which the filter is broadcast.
     broadcast_bytes: int = 128 << 20
     #: The counts of up to so many of the most frequent words are broadcast.
@@ -291,6 +292,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     blocks = stored(blocks, "lm-filter")
     words = found.where("words is not null").select(F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n").alias("n"))
     words = stored(words, "lm-words")
+    dropped(found)
     about = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
     return Model(blocks, words, shift, about.tokens or 0, about.words, blocks.agg(F.sum(F.octet_length("bits")).alias("n")).first().n or 0, settings)
 
