@@ -94,8 +94,8 @@ class Tile:
                     if self._holds(flood, path):
                         self._flood(flood, [(place, passes)], (*path, *place))
 
-    def messages(self, place: tuple[int, int], level: int, side: int) -> dict[int, bytes]:
-        """Bytes for each tile that is sent something; place: this tile's."""
+    def messages(self, level: int, side: int) -> dict[int, bytes]:
+        """Bytes for each tile that is sent something."""
         rows: dict[int, set] = {}
         for row in self.sent:
             rows.setdefault(tile_number(row[1] // side, row[2] // side, level), set()).add(row)
@@ -120,7 +120,7 @@ def unpacked(body: bytes) -> list[tuple]:
 def look(guarded: bool, side: int = SIDE):
     """For tiles.settled: (src, dst) of all adoptions of a tile's lower places."""
 
-    def work(tile: int, part: pa.Table, inbox: list[bytes]) -> tuple[dict[int, bytes], list[np.ndarray]]:
+    def work(tile: int, part: pa.Table, inbox: pa.Table) -> tuple[list[tuple], list[np.ndarray]]:
         tx, tz, level = tile_place(tile)
         upper, lower = {}, {}
         of = {c: part.column(c).to_pylist() for c in ("x", "z", "is_upper", "kind", "flat", "wood")}
@@ -130,10 +130,11 @@ def look(guarded: bool, side: int = SIDE):
             else:
                 lower[x, z] = (kind, flat, wood)
         found = Tile(upper, lower, lambda p: p[0] // side == tx and p[1] // side == tz, guarded)
-        found.run([row for body in inbox for row in unpacked(body)])
+        found.run([row for body in inbox.column("body").to_pylist() for row in unpacked(body)])
         src = np.array([u[:2] for u in found.claimed.values()], np.int64).reshape(-1, 2)
         dst = np.array(list(found.claimed), np.int64).reshape(-1, 2)
         node = lambda p, y: (p[:, 0] << 38) + (p[:, 1] + (1 << 25) << 12) + y + (1 << 11)
-        return found.messages((tx, tz), level, side), [node(src, level), node(dst, level - 1)]
+        said = [(0, to, None, body) for to, body in found.messages(level, side).items()]
+        return said, [node(src, level), node(dst, level - 1)]
 
     return work

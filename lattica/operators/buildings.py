@@ -1,8 +1,8 @@
 """Buildings: unnatural blocks searched from the top down, discards, merges and the marked world.
 
-The search goes level by level, all components at once. An in-plane component of unnatural blocks goes whole to the
-earliest component that reaches it, so those are worked out once, for all planes; a level then is two joins and two
-grouped minima. Components are ordered by their first block: highest first, then by x and z.
+An in-plane component of unnatural blocks goes whole to the earliest component that reaches it, so those are worked out
+once, for all planes; the search then goes down in tiles of columns, all at once. Components are ordered by their first
+block: highest first, then by x and z.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.codec import packed
 from ..functions.names import classified
 from ..functions.storage import stored
+from . import search
 from .graph import connected_components
 from .neighbors import HALF_PLANE8, SIDES6, SQUARE9_BELOW, neighbors, stepped
 from .order import numbered
+from .tiles import settled, tile_of
 
 TINY = 5
+#: Blocks along the side of a tile of columns.
+TILE_SIDE = 64
 
 
 def plane_components(blocks: DataFrame) -> DataFrame:
@@ -36,37 +40,20 @@ def below(layer: DataFrame) -> DataFrame:
 def raw_components(blocks: DataFrame) -> DataFrame:
     """(x, y, z, comp) for every block that a component claims; comp orders components by first block.
 
-    blocks: x, y, z, is_natural, one row per place. Levels are looped over from the top; each is written to the shared
-    folder. Components that claim nothing on a level end there. No unnatural block: no rows.
+    blocks: x, y, z, is_natural, one row per place. The world is cut into columns of tiles; each is searched from the top down by
+    itself (search.py), and the few facts that cross their sides go back and forth until they stand still, so jobs do not grow with
+    the height. Components that claim nothing on a level end there. No unnatural block: no rows.
     """
     planes = plane_components(blocks)
-    cells = blocks.select("x", "y", "z", "is_natural").join(planes, ["x", "y", "z"], "left")
+    tile = tile_of(F.col("x"), F.col("z"), F.lit(0), TILE_SIDE)
+    cells = blocks.select("x", "y", "z").join(planes, ["x", "y", "z"], "left").withColumn("tile", tile)
     # A plane component's rank as a seed: higher planes first, then the least x and z among its blocks.
-    rank = F.shiftleft((F.lit(1 << 15) - F.col("y")).cast("long"), 48).bitwiseOR(F.shiftleft((F.col("x") + (1 << 23)).cast("long"), 24)).bitwiseOR((F.col("z") + (1 << 23)).cast("long"))
-    seeds = cells.where("plane is not null").groupBy("plane").agg(F.min(rank).alias("seed"))
-    cells = stored(cells.join(seeds, "plane", "left").repartitionByRange("y"), "building-cells")
-    levels = sorted((r.y for r in cells.select("y").distinct().collect()), reverse=True)  # at most a world's height
-    layers, above = [], None
-    for y in levels:
-        here = cells.where(F.col("y") == y)
-        if above is None:
-            claims = here.where("plane is not null").select("x", "y", "z", F.col("seed").alias("comp"))
-        else:
-            active = below(above).join(here, ["x", "y", "z"])
-            alive = active.where("not is_natural").select("comp").distinct()
-            active = active.join(alive, "comp")
-            natural = active.where("is_natural").groupBy("x", "y", "z").agg(F.min("comp").alias("comp"))
-            reached = active.where("not is_natural").groupBy("plane").agg(F.min("comp").alias("reached"))
-            unnatural = here.where("plane is not null").join(reached, "plane", "left").select("x", "y", "z", F.coalesce("reached", "seed").alias("comp"))
-            claims = natural.unionByName(unnatural)
-        above = stored(claims.where(F.col("y") == y).select("x", "y", "z", "comp"), "building-layer")
-        layers.append(above)
-    if not layers:
-        return blocks.select("x", "y", "z", F.lit(0).cast("long").alias("comp")).where("false")
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.unionByName(layer)
-    return out
+    rank = F.shiftleft((F.lit(1 << 14) - F.col("y")).cast("long"), 48).bitwiseOR(F.shiftleft((F.col("x") + (1 << 23)).cast("long"), 24)).bitwiseOR((F.col("z") + (1 << 23)).cast("long"))
+    parts = stored(cells.where("plane is not null").groupBy("plane", "tile").agg(F.min(rank).alias("rank")), "building-planes")
+    about = stored(parts.groupBy("plane").agg(F.min("rank").alias("seed"), (F.count("*") > 1).alias("shared")), "building-seeds")
+    members = stored(parts.join(about.where("shared"), "plane").select("plane", "tile"), "building-shared")
+    found = settled(cells.join(about, "plane", "left"), search.look(TILE_SIDE), "x long, y long, z long, comp long", "building", lambda facts: search.routed(facts, members))
+    return found.select(*[F.col(c).cast(blocks.schema[c].dataType) for c in "xyz"], "comp")
 
 
 def uniform_discards(claims: DataFrame) -> DataFrame:
@@ -112,8 +99,9 @@ def merged(claims: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def find_buildings(blocks: DataFrame) -> DataFrame:
-    """(building_id, x, y, z, absorbed) from blocks x, y, z, name."""
-    named = stored(classified(blocks.select("x", "y", "z", "name"), "is_natural", "is_discardable"), "building-blocks")
+    """(building_id, x, y, z, absorbed) from blocks x, y, z, name. Without a name: as `other`; of a place that repeats, the greatest name counts."""
+    once = blocks.groupBy("x", "y", "z").agg(F.max(F.coalesce("name", F.lit("other"))).alias("name"))
+    named = stored(classified(once, "is_natural", "is_discardable"), "building-blocks")
     claims = stored(raw_components(named).join(named, ["x", "y", "z"]), "building-claims")
     kept = claims.join(uniform_discards(claims), "comp", "left_anti")
     kept = stored(kept.join(tiny_discards(kept), "comp", "left_anti"), "building-kept")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.naming import fresh
 
 #: What stands for nulls in dictionaries: no name, no properties, no namespace.
 NULL_NAME, NULL_PROPERTIES, NULL_SPACE = "other", "None", "minecraft"
@@ -56,9 +57,13 @@ def decoded(rows: DataFrame, names: DataFrame, props: DataFrame | None = None, m
 
 
 def remapped(rows: DataFrame, old: DataFrame, new: DataFrame, column: str = "name", code: str = "id") -> DataFrame:
-    """rows with their codes of one dictionary replaced by those of another for the same values."""
-    pairs = old.join(new.withColumnRenamed(code, "_new"), column).select(code, "_new")
-    return rows.join(pairs, code).withColumn(code, F.col("_new")).drop("_new")
+    """rows with their codes of one dictionary replaced by those of another for the same values.
+
+    Left joins: no row is lost. A null code, and one whose value the new dictionary lacks or that the old one does not know, becomes null.
+    """
+    to = fresh(rows, "_new")[0]
+    pairs = old.join(new.select(F.col(code).alias(to), column), column, "left").select(code, to)
+    return rows.join(pairs, code, "left").withColumn(code, F.col(to)).drop(to)
 
 
 def with_markers(names: DataFrame, *markers: str) -> DataFrame:

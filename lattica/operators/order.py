@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.naming import fresh
 from ..functions.storage import stored
 
 _BITS = 33  # of a row's place in its partition, in monotonically_increasing_id
@@ -17,9 +18,10 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str, first: int =
     in it, after the counts of the ranges before. Rows that are equal in the order are numbered in any.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    placed = stored(placed, "numbered").withColumn("_range", F.shiftright("_place", _BITS))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row per range
-    within = F.col("_place").bitwiseAND(F.lit((1 << _BITS) - 1))
-    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within + first).drop("_place", "_range", "_before")
+    place, part, size, before = fresh(rows, "_place", "_range", "_n", "_before")
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    placed = stored(placed, "numbered").withColumn(part, F.shiftright(place, _BITS))
+    sizes = placed.groupBy(part).agg(F.count("*").alias(size))
+    starts = sizes.select(part, (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(before))  # a row per range
+    within = F.col(place).bitwiseAND(F.lit((1 << _BITS) - 1))
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(before) + within + first).drop(place, part, before)

@@ -1,8 +1,8 @@
-"""Work that runs across a plane in order, cut into tiles that settle their edges by messages.
+"""Work that goes through a world in order, cut into tiles that settle what crosses their edges by what they say to one another.
 
-A tile is worked on by one task, with the cells next to it. What it does depends on earlier steps in other tiles only through
-messages, so tiles are worked on anew, with the messages that others have for them now, until none of them has other messages than
-before. Each step depends on earlier ones alone, hence tiles that stand still agree with the sequence.
+A tile is worked on by one task. What it does depends on earlier steps in other tiles only through what these say, so tiles are
+worked on anew with what reaches them now, until nothing else reaches any of them than before. Each step depends on earlier ones
+alone, hence tiles that stand still agree with the sequence.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from ..functions.storage import stored
 
 #: Cells along a tile's side.
 SIDE = 128
-MESSAGE = "sender long, tile long, body binary"
+#: What a tile says, and what reaches one.
+FACTS, INBOX = "sender long, what int, a long, b long, body binary", "tile long, what int, a long, b long, body binary"
 
-Look = Callable[[int, pa.Table, list[bytes]], tuple[dict[int, bytes], list[np.ndarray]]]
+#: (tile, its cells, what reaches it) to what it says, a row (what, a, b, body) each, and its rows by column.
+Look = Callable[[int, pa.Table, pa.Table], tuple[list[tuple], list[np.ndarray]]]
 
 
 def tile_of(x: Column, z: Column, level: Column, side: int = SIDE) -> Column:
@@ -46,57 +48,57 @@ def with_edges(cells: DataFrame, side: int = SIDE) -> DataFrame:
     return spread.withColumn("tile", tile).withColumn("inside", (F.col("_way.dx") == 0) & (F.col("_way.dz") == 0)).drop("_way")
 
 
-def settled(cells: DataFrame, look: Look, schema: str, name: str, max_rounds: int = 1000) -> DataFrame:
-    """Rows of schema (longs) that look gives for every tile of cells (column tile) once all messages stand still.
+def to_tiles(facts: DataFrame) -> DataFrame:
+    """The inbox where a names the tile that is spoken to."""
+    return facts.select(F.col("a").alias("tile"), "what", F.lit(None).cast("long").alias("a"), "b", "body")
 
-    look(tile, cells, messages to it) gives (message to each other tile, the tile's rows by column). Only tiles whose messages
-    have changed are worked on again; messages and rows of each round are written to the shared folder.
+
+def settled(cells: DataFrame, look: Look, schema: str, name: str, route: Callable[[DataFrame], DataFrame] = to_tiles, max_rounds: int = 1000) -> DataFrame:
+    """Rows of schema (longs) that look gives for every tile of cells (column tile) once all that reaches a tile stands still.
+
+    route turns what all tiles say (FACTS) into what reaches them (INBOX), in no order. Only tiles that something else reaches are
+    worked on again; what they say and their rows are written to the shared folder each round.
     """
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [c.split()[0] for c in schema.split(",")]
-    out_schema = pa.schema([("sender", pa.int64()), ("tile", pa.int64()), ("body", pa.binary()), *[(c, pa.int64()) for c in columns]])
+    kinds = [("sender", pa.int64()), ("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("body", pa.binary())]
+    out_schema = pa.schema([*kinds, *[(c, pa.int64()) for c in columns]])
 
     def work(part: pa.Table, inbox: pa.Table) -> pa.Table:
         if not part.num_rows:
             return pa.Table.from_batches([], schema=out_schema)
         tile = part.column("tile")[0].as_py()
-        order = sorted(zip(inbox.column("sender").to_pylist(), inbox.column("body").to_pylist(), strict=True))
-        messages, found = look(tile, part, [body for _, body in order])
-        m, k = len(messages), len(found[0])
-        own = pa.array([tile] * (m + k), pa.int64())
-        to, body = pa.array([*messages, *[None] * k], pa.int64()), pa.array([*messages.values(), *[None] * k], pa.binary())
+        said, found = look(tile, part, inbox)
+        m, k = len(said), len(found[0])
+        facts = list(zip(*said, strict=True)) if said else [[]] * 4
+        first = [pa.array([tile] * (m + k), pa.int64()), *[pa.concat_arrays([pa.array(f, t), pa.nulls(k, t)]) for f, (_, t) in zip(facts, kinds[1:], strict=True)]]
         rest = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.asarray(f, np.int64))]) for f in found]
-        return pa.Table.from_arrays([own, to, body, *rest], schema=out_schema)
-
-    def worked(which: DataFrame, inbox: DataFrame) -> DataFrame:
-        rows = which.repartition(n, "tile").groupBy("tile").cogroup(inbox.repartition(n, "tile").groupBy("tile")).applyInArrow(work, f"{MESSAGE}, {schema}")
-        return stored(rows, f"{name}-worked")
+        return pa.Table.from_arrays([*first, *rest], schema=out_schema)
 
-    def heard(messages: DataFrame) -> DataFrame:
-        return messages.groupBy("tile").agg(F.sum(F.xxhash64("sender", "body").cast("decimal(38,0)")).alias("hash"))
+    def worked(which: DataFrame, inbox: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = which.repartition(n, "tile").groupBy("tile").cogroup(inbox.repartition(n, "tile").groupBy("tile")).applyInArrow(work, f"{FACTS}, {schema}")
+        rows = stored(rows, f"{name}-worked")
+        return rows.where("what is not null").select("sender", "what", "a", "b", "body"), rows.where("what is null").select("sender", *columns)
 
     cells = stored(cells, f"{name}-cells")
-    rounds = [(None, worked(cells, cells.sparkSession.createDataFrame([], MESSAGE)))]
-    messages = rounds[0][1].where("tile is not null").select("sender", "tile", "body")
-    known = heard(messages).where("false")
+    said, found = worked(cells, cells.sparkSession.createDataFrame([], INBOX))
+    rounds, known = [(None, found)], cells.sparkSession.createDataFrame([], "tile long, was decimal(38,0)")
     for _ in range(max_rounds):
-        now = heard(messages)
-        seen = Observation()
-        differs = now.join(known.withColumnRenamed("hash", "was"), "tile", "full").where("not (hash <=> was)").select("tile")
+        inbox, seen = stored(route(said), f"{name}-inbox"), Observation()
+        now = inbox.groupBy("tile").agg(F.sum(F.xxhash64("what", "a", "b", "body").cast("decimal(38,0)")).alias("hash"))
+        differs = now.join(known, "tile", "full").where("not (hash <=> was)").select("tile")
         changed = stored(differs.observe(seen, F.count("*").alias("n")), f"{name}-changed")
         if not seen.get["n"]:
             break
-        again = worked(cells.join(changed, "tile", "left_semi"), messages.join(changed, "tile", "left_semi"))
+        fresh, found = worked(cells.join(changed, "tile", "left_semi"), inbox.join(changed, "tile", "left_semi"))
         senders = changed.withColumnRenamed("tile", "sender")
-        rounds.append((senders, again))
-        fresh = again.where("tile is not null").select("sender", "tile", "body")
-        messages, known = stored(messages.join(senders, "sender", "left_anti").unionByName(fresh), f"{name}-messages"), now
+        rounds.append((senders, found))
+        said, known = stored(said.join(senders, "sender", "left_anti").unionByName(fresh), f"{name}-said"), now.withColumnRenamed("hash", "was")
     else:
         raise RuntimeError(f"tiles did not settle in {max_rounds} rounds")
     out, later = None, None
     for senders, rows in reversed(rounds):
-        valid = rows.where("tile is null")
-        valid = (valid if later is None else valid.join(later, "sender", "left_anti")).select(*columns)
+        valid = (rows if later is None else rows.join(later, "sender", "left_anti")).select(*columns)
         out = valid if out is None else out.unionByName(valid)
         later = senders if later is None else later if senders is None else later.unionByName(senders).distinct()
     return out

@@ -50,7 +50,7 @@ def in_tiles(upper, lower, guarded, side):
         for t, (up, low) in parts.items():
             tile = adoption.Tile(up, low, lambda p, t=t: (p[0] // side, p[1] // side) == t, guarded)
             tile.run([row for s in sorted(where) for row in adoption.unpacked(sent[s].get(tiles.tile_number(*t, 5), b""))])
-            fresh[t] = tile.messages(t, 5, side)
+            fresh[t] = tile.messages(5, side)
             claims += [(u[:2], at) for at, u in tile.claimed.items()]
         if fresh == sent:
             return claims, rounds
@@ -130,3 +130,74 @@ def test_components_in_two_levels(spark, monkeypatch, lot):
     assert sorted(map(tuple, scattered.collect())) == want
     a, b = (np.array(x) for x in zip(*[e for e in edges if None not in e], strict=True))
     assert sorted(zip(*(x.tolist() for x in joined_up(a, b)), strict=True)) == want
+
+
+def searched(cells):
+    """Components from the top down, a level at a time: (place -> first block's order) as the search defines them."""
+    planes = {}
+    for p in cells:
+        if not cells[p] and p not in planes:
+            line, own = [p], [p]
+            planes[p] = p
+            while line:
+                x, y, z = line.pop()
+                for dx in (-1, 0, 1):
+                    for dz in (-1, 0, 1):
+                        q = (x + dx, y, z + dz)
+                        if q in cells and not cells[q] and q not in planes:
+                            planes[q] = p
+                            line.append(q)
+                            own.append(q)
+            best = min((-b, a, c) for a, b, c in own)
+            planes |= {q: best for q in own}
+    label = {}
+    for level in sorted({y for _, y, _ in cells}, reverse=True):
+        here = [p for p in cells if p[1] == level]
+        over = {p: {label[q] for dx in (-1, 0, 1) for dz in (-1, 0, 1) if (q := (p[0] + dx, level + 1, p[2] + dz)) in label} for p in here}
+        alive = set().union(*[over[p] for p in here if not cells[p]])
+        reached = {}
+        for p in here:
+            if not cells[p] and over[p]:
+                reached[planes[p]] = min([*over[p], *([reached[planes[p]]] if planes[p] in reached else [])])
+        for p in here:
+            if not cells[p]:
+                label[p] = reached.get(planes[p], planes[p])
+            elif over[p] & alive:
+                label[p] = min(over[p] & alive)
+    return label
+
+
+@pytest.mark.parametrize(("seed", "side"), [(1, 2), (2, 3), (3, 5), (4, 64)])
+def test_searches_in_tiles_agree_with_the_sequence(spark, monkeypatch, seed, side):
+    from lattica.operators import buildings
+
+    monkeypatch.setattr(buildings, "TILE_SIDE", side)
+    rng = random.Random(seed)
+    cells = {(x, y, z): rng.random() < 0.75 for x in range(-4, 8) for z in range(-3, 8) for y in range(9) if rng.random() < 0.8}
+    cells |= {(30 + k // 3 % 4, 20 - k // 6, 0): k % 5 > 1 for k in range(60)}  # a tower that winds across tiles
+    df = spark.createDataFrame([(*p, natural) for p, natural in cells.items()], "x int, y int, z int, is_natural boolean").repartition(4)
+    got = {(r.x, r.y, r.z): r.comp for r in buildings.raw_components(df).collect()}
+    order = lambda c: ((1 << 14) + c[0] << 48) | (c[1] + (1 << 23) << 24) | (c[2] + (1 << 23))
+    assert got == {p: order(c) for p, c in searched(cells).items()}
+
+
+def test_jobs_of_a_search_do_not_grow_with_the_height(spark):
+    from lattica.operators import buildings
+
+    jobs = []
+    for height in (4, 40):
+        spark.sparkContext.setJobGroup(f"height-{height}", "")
+        df = spark.createDataFrame([(x, y, 0, x > 1) for y in range(height) for x in range(3)], "x int, y int, z int, is_natural boolean")
+        assert buildings.raw_components(df).count() == 3 * height - 1
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"height-{height}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[0] - jobs[1]) <= 5  # adaptive execution may add or save a few
+
+
+def test_buildings_of_repeated_and_nameless_places(spark):
+    from lattica.operators import buildings
+
+    rows = [(x, y, 0, "oak_planks") for x in range(3) for y in range(3)]
+    df = spark.createDataFrame([*rows, *rows, (3, 0, 0, None), (4, 0, 0, None)], "x int, y int, z int, name string")
+    got = sorted((r.x, r.y) for r in buildings.find_buildings(df).collect())
+    assert got == sorted([*{(x, y) for x, y, *_ in rows}, (3, 0), (4, 0)])
