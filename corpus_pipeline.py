@@ -33,9 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that overlap with a benchmark item.
 
-    A null or empty text overlaps with none; rows that share a doc_id go together; a row without a doc_id stays.
+    A null or empty text overlaps with none; rows go by their own text, whatever their doc_id and whoever shares it.
     """
-    return decontam.clean(docs, tables(spark, sf_dir, "benchmark"), decontam.WHOLE)
+    return decontam.cleaned(docs, tables(spark, sf_dir, "benchmark"), decontam.WHOLE)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

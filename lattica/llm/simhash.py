@@ -237,7 +237,7 @@ def deduplicated(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     least text stays (then the least hash of its columns). A class without any doc_id keeps one row likewise. Null or empty
     texts are a class of their own (fingerprint 0). An empty table gives no rows; columns may have any names.
     """
-    own, fp, root = fresh(docs, "own", "fp", "root")
+    own, fp, root, same = fresh(docs, "own", "fp", "root", "same")
     found = classes(docs, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(found.select(F.col("doc_id").alias(own), F.col("fp").alias(fp), F.col("root").alias(root)).distinct(), "simhash-kept")
     key = F.col("doc_id").cast("long")
@@ -247,9 +247,9 @@ def deduplicated(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         return docs.join(kept.select(own).distinct(), key == F.col(own), "left_semi")
     single = kept.select(own).where(F.col(own).isNotNull()).distinct().join(several, own, "left_anti")
     out = docs.join(single, key == F.col(own), "left_semi")
-    unsure = kept.join(several.withColumnRenamed(own, "same"), F.col(own).eqNullSafe(F.col("same")), "left_semi")
+    unsure = kept.join(several.withColumnRenamed(own, same), F.col(own).eqNullSafe(F.col(same)), "left_semi")
     rows = docs.join(several, key.eqNullSafe(F.col(own)), "left_semi")
-    rows = _beside_prints(rows, fp).withColumn(own, key).join(unsure.withColumnRenamed(own, "same"), [fp], "inner").where(F.col(own).eqNullSafe(F.col("same")))
+    rows = _beside_prints(rows, fp).withColumn(own, key).join(unsure.withColumnRenamed(own, same), [fp], "inner").where(F.col(own).eqNullSafe(F.col(same)))
     every = [F.col(f"`{c}`") for c in docs.columns]
     best = rows.groupBy(own, root).agg(F.min_by(F.struct(*[c.alias(f"k{k}") for k, c in enumerate(every)]), _least(docs)).alias("best"))
     return out.unionByName(best.select(*[F.col(f"best.k{k}").alias(c) for k, c in enumerate(docs.columns)])).select(*every)
