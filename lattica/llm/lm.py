@@ -29,6 +29,9 @@ from .common import arrow_batch, columns_as, lower_ascii, sliced, stored
 
 #: The odd constants of a common 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Bytes of a word up to which it is hashed with many others.
+WORD_BYTES = 1 << 16
+_POWERS: dict[int, np.ndarray] = {}
 END = xxhash.xxh64_intdigest(b"", 1)
 #: Bytes of text that a task takes apart at once, and n-grams that it adds up before it hands them on.
 SLICE, HELD_GRAMS = 2 << 20, 1 << 20
@@ -75,6 +78,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers of base modulo 2 ** 64 from 0 on: n of them at least."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, WORD_BYTES), base, np.uint64))))
+    return _POWERS[base]
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """A hash of each word of a large_string array: its bytes as a polynomial, by differences of running sums, mixed; of long words, XXH64."""
+    words = pa.concat_arrays([words])
+    offsets, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1], words.buffers()[2]
+    sizes = np.diff(offsets)
+    out, at = np.empty(len(words), np.uint64), 0
+    while at < len(words):
+        if sizes[at] > WORD_BYTES:
+            out[at], at = xxhash.xxh64_intdigest(data[int(offsets[at]) : int(offsets[at + 1])], 1), at + 1
+            continue
+        long = np.flatnonzero(sizes[at : at + (1 << 16)] > WORD_BYTES)
+        end = max(at + 1, min(len(words), at + (int(long[0]) if len(long) else 1 << 16), int(np.searchsorted(offsets, offsets[at] + 16 * WORD_BYTES, side="right")) - 1))
+        begins = (offsets[at : end + 1] - offsets[at]).astype(np.int64)
+        values = np.frombuffer(data, np.uint8)[offsets[at] : offsets[end]].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(MIX[0], len(values))[: len(values)])))
+        own = (sums[begins[1:]] - sums[begins[:-1]]) * _powers(pow(MIX[0], -1, 1 << 64), len(values) + 1)[begins[:-1]]
+        out[at:end] = mixed(own + sizes[at:end].astype(np.uint64) * np.uint64(MIX[2]))
+        at = end
+    return out
+
+
 class Grams:
     """The tokens of texts (each ending with the end), and their n-grams by order, hashed."""
 
@@ -94,7 +125,7 @@ class Grams:
         last[self.starts + self.sizes - 1] = True
         self.codes[~last] = codes
         place = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
-        hashes = np.array([END, *[xxhash.xxh64_intdigest(w, 1) for w in self.words.cast(pa.large_binary()).to_pylist()]], np.uint64)
+        hashes = np.concatenate((np.array([END], np.uint64), hashed(self.words)))
         #: By order: the number of the n-gram that ends at each token (-1: none), the hashes, a place and the times of each.
         self.ids, self.hashes = [self.codes], [hashes]
         self.at, self.times = [np.zeros(len(hashes), np.int64)], [np.bincount(self.codes, minlength=len(hashes))]
