@@ -108,19 +108,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def reachable(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 100_000) -> DataFrame:
     """(node) for every node that directed paths of edges lead to from a seed, seeds included.
 
-    A frontier loop: each round joins only the nodes that the last one found, so there are as many rounds as the longest
-    shortest path has steps; more than max_rounds are an error. Frontiers are written to the shared folder, and put together
-    every so many rounds. Where edges lead both ways, connected_components takes fewer rounds.
+    Nodes joined by edges that lead both ways are reached together, so such parts are made one node each first, by
+    connected_components. What is left is gone through in a frontier loop: each round joins only what the last one found, so there
+    are as many rounds as the longest shortest path has steps that lead one way only; more than max_rounds are an error.
+    Frontiers are written to the shared folder, and put together every so many rounds.
     """
-    seen = stored(seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), "reach-seen")
     links = stored(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node <> to").distinct(), "reach-edges")
+    back = links.select(F.col("to").alias("node"), F.col("node").alias("to"))
+    parts = stored(connected_components(links.join(back, ["node", "to"], "left_semi"), "node", "to"), "reach-parts")
+    part = lambda df, column, name: df.join(parts.select(F.col("node").alias(column), F.col("component").alias("_part")), column, "left").withColumn(name, F.coalesce("_part", column)).drop("_part")
+    begun = part(seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), "node", "part")
+    ways = part(part(links, "node", "a"), "to", "b").where("a <> b").select(F.col("a").alias("part"), F.col("b").alias("onto")).distinct()
+    ways, seen = stored(ways, "reach-ways"), stored(begun.select("part").distinct(), "reach-seen")
     front = seen
     for k in range(1, max_rounds + 1):
-        new = front.join(links, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = front.join(ways, "part").select(F.col("onto").alias("part")).distinct().join(seen, "part", "left_anti")
         front = stored(new, "reach-front")
         if front.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(front)
         if k % TOGETHER == 0:
             seen = stored(seen, "reach-seen")
-    raise RuntimeError(f"nodes were still being reached after {max_rounds} rounds")
+    else:
+        raise RuntimeError(f"nodes were still being reached after {max_rounds} rounds")
+    whole = parts.join(seen, F.col("component") == F.col("part"), "left_semi").select("node")
+    return whole.unionByName(seen.select(F.col("part").alias("node"))).distinct()

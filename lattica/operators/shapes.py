@@ -1,4 +1,4 @@
-"""L shapes and squares of filled cells in a plane, by rectangle sums.
+"""L shapes and squares of filled cells in a plane, by runs of cells and counts along lines.
 
 An L is a corner box and up to two arms, filled inside and framed by empty cells one wide; cells beyond the grid hold
 anything. The four orientations are mirror images within the L's bounding rectangle. Inside cells must also have nothing
@@ -16,38 +16,87 @@ import numpy as np
 ORIENTATIONS = ((False, False), (True, False), (False, True), (True, True))
 
 
+class _Lines:
+    """Cells by one coordinate: of each line the other coordinate of its cells, ascending. Memory goes with the cells."""
+
+    def __init__(self, line: np.ndarray, at: np.ndarray):
+        order = np.lexsort((at, line))
+        line, self.at = line[order], at[order]
+        self.names, begins = np.unique(line, return_index=True)
+        self.begins = np.append(begins, len(line))
+        self.place = {int(n): k for k, n in enumerate(self.names)}
+        # Runs of neighbours on a line: the last cell of each, and the first.
+        breaks = np.flatnonzero((np.diff(line) != 0) | (np.diff(self.at) != 1)) if len(line) else np.zeros(0, int)
+        starts = np.concatenate(([0], breaks + 1))[: len(line)]
+        ends = np.append(breaks, len(line) - 1)[: len(line)]
+        run = np.cumsum(np.isin(np.arange(len(line)), starts)) - 1
+        self.first, self.last = self.at[starts][run] if len(line) else self.at, self.at[ends][run] if len(line) else self.at
+
+    def line(self, name: int) -> np.ndarray:
+        k = self.place.get(name)
+        return self.at[:0] if k is None else self.at[self.begins[k] : self.begins[k + 1]]
+
+    def count(self, name: int, begin: int, end: int) -> int:
+        own = self.line(name)
+        return int(np.searchsorted(own, end) - np.searchsorted(own, begin)) if end > begin else 0
+
+    def run(self, name: int, at: int) -> tuple[int, int]:
+        """How many cells without a gap lie from one on, and up to it; none if it is not a cell."""
+        k = self.place.get(name)
+        if k is None:
+            return 0, 0
+        i = self.begins[k] + int(np.searchsorted(self.line(name), at))
+        if i == self.begins[k + 1] or self.at[i] != at:
+            return 0, 0
+        return int(self.last[i]) - at + 1, at - int(self.first[i]) + 1
+
+    def starts(self, name: int, after: int) -> list[int]:
+        """Where runs begin on a line beyond a place."""
+        own = self.line(name)
+        k = self.place.get(name)
+        return own[(self.first[self.begins[k] : self.begins[k + 1]] == own) & (own > after)].tolist() if k is not None else []
+
+
 class Plane:
-    """A grid of filled cells [x, z] and those with something below, with sums over rectangles."""
+    """Filled cells (x, z) of a grid and those with something below. It holds cells, not the grid."""
 
     def __init__(self, filled: np.ndarray, under: np.ndarray):
-        self.filled, self.shape = filled, filled.shape
-        self.sums = [np.pad(np.cumsum(np.cumsum(a.astype(np.int64), 0), 1), ((1, 0), (1, 0))) for a in (filled, filled & ~under, np.ones_like(filled))]
-        solid = filled & ~under
-        #: Lengths of the runs of filled cells to greater x.
-        self.run = _runs(filled[::-1])[::-1]
-        #: Lengths of the runs of solid cells from a cell on: to greater x, lesser x, greater z, lesser z.
-        self.right, self.left = _runs(solid[::-1])[::-1], _runs(solid)
-        self.down, self.up = _runs(solid[:, ::-1].T).T[:, ::-1], _runs(solid.T).T
+        self._set(np.argwhere(filled), np.argwhere(filled & ~under), filled.shape)
+
+    @classmethod
+    def of_cells(cls, filled: np.ndarray, solid: np.ndarray, shape: tuple[int, int]) -> Plane:
+        """filled, and solid (those of them with nothing below): a row per cell."""
+        plane = cls.__new__(cls)
+        plane._set(filled, solid, shape)
+        return plane
+
+    def _set(self, filled: np.ndarray, solid: np.ndarray, shape: tuple[int, int]) -> None:
+        self.shape = shape
+        # By rows (x) and by columns (z).
+        self.cells = [(_Lines(c[:, 0], c[:, 1]), _Lines(c[:, 1], c[:, 0])) for c in (filled, solid)]
 
-    def total(self, which: int, x0, z0, x1, z1):
-        """Sum over x0 <= x < x1, z0 <= z < z1, clipped to the grid; arrays are allowed."""
-        x0, x1 = (np.clip(v, 0, self.shape[0]) for v in (x0, x1))
-        z0, z1 = (np.clip(v, 0, self.shape[1]) for v in (z0, z1))
-        x1, z1 = np.maximum(x1, x0), np.maximum(z1, z0)
-        s = self.sums[which]
-        return s[x1, z1] - s[x0, z1] - s[x1, z0] + s[x0, z0]
+    def count(self, which: int, x0: int, z0: int, x1: int, z1: int) -> int:
+        """Filled (0) or solid (1) cells with x0 <= x < x1 and z0 <= z < z1, along the rectangle's shorter side."""
+        rows, columns = self.cells[which]
+        if x1 - x0 <= z1 - z0:
+            return sum(rows.count(x, z0, z1) for x in range(int(x0), int(x1)))
+        return sum(columns.count(z, x0, x1) for z in range(int(z0), int(z1)))
 
-    def empty(self, *r):
-        return self.total(0, *r) == 0
+    def empty(self, *r) -> bool:
+        return self.count(0, *r) == 0
 
-    def solid(self, *r):
-        return self.total(1, *r) == self.total(2, *r)
+    def solid(self, x0, z0, x1, z1) -> bool:
+        """Whether all cells of a rectangle that are on the grid are solid."""
+        x0, x1, z0, z1 = max(0, int(x0)), min(self.shape[0], int(x1)), max(0, int(z0)), min(self.shape[1], int(z1))
+        return x1 <= x0 or z1 <= z0 or self.count(1, x0, z0, x1, z1) == (x1 - x0) * (z1 - z0)
 
+    def across(self, x: int, z: int) -> tuple[int, int]:
+        """Solid cells from a cell on to greater x, and to lesser x."""
+        return self.cells[1][1].run(z, x)
 
-def _runs(solid: np.ndarray) -> np.ndarray:
-    """How many cells up to each, along the first axis, are solid without a gap."""
-    at = np.arange(1, len(solid) + 1)[:, None]
-    return at - np.maximum.accumulate(np.where(solid, 0, at), axis=0)
+    def along(self, x: int, z: int) -> tuple[int, int]:
+        """Solid cells from a cell on to greater z, and to lesser z."""
+        return self.cells[1][0].run(x, z)
 
 
 def _rectangles(box_x, box_z, d_x, d_z) -> tuple[list, list]:
@@ -90,34 +139,34 @@ def _fits(plane: Plane, i: int, j: int, size: tuple[int, int, int, int], orienta
 
 def _sizes(plane: Plane, i: int, j: int, orientation: tuple[bool, bool]):
     """(box x, box z, whole x, whole z) of all Ls with a notch that may begin before (i, j)."""
-    right, left, down, up = plane.right, plane.left, plane.down, plane.up
+    right, left = (lambda x, z: plane.across(x, z)[0]), (lambda x, z: plane.across(x, z)[1])
+    down, up = (lambda x, z: plane.along(x, z)[0]), (lambda x, z: plane.along(x, z)[1])
     if orientation == (True, False):  # the notch is next to (i, j): the foot may begin anywhere below
-        column = down[i]
-        for z in (np.flatnonzero((column[j + 1 :] > 0) & (column[j:-1] == 0)) + j + 1).tolist():
-            n = int(column[z])
-            w = int(right[i, z + n - 1]) + 2
-            yield int(left[i + w - 3, j]) + 2, n + 2, w, z - j + n + 2
+        for z in plane.cells[1][0].starts(i, j):
+            n = down(i, z)
+            w = right(i, z + n - 1) + 2
+            yield left(i + w - 3, j) + 2, n + 2, w, z - j + n + 2
         return
     mirror_x, mirror_z = orientation
-    if not (right[i, j] and down[i, j]):
+    if not (right(i, j) and down(i, j)):
         return
     if not mirror_x and not mirror_z:
-        h = int(down[i, j]) + 2
-        w = int(right[i, j + h - 3]) + 2
-        yield int(right[i, j]) + 2, int(up[i + w - 3, j + h - 3]) + 2, w, h
+        h = down(i, j) + 2
+        w = right(i, j + h - 3) + 2
+        yield right(i, j) + 2, up(i + w - 3, j + h - 3) + 2, w, h
     elif mirror_z and not mirror_x:
-        w, h = int(right[i, j]) + 2, int(down[i, j]) + 2
-        yield int(right[i, j + h - 3]) + 2, int(down[i + w - 3, j]) + 2, w, h
+        w, h = right(i, j) + 2, down(i, j) + 2
+        yield right(i, j + h - 3) + 2, down(i + w - 3, j) + 2, w, h
     else:
-        w = int(right[i, j]) + 2
-        h = int(down[i + w - 3, j]) + 2
-        yield int(left[i + w - 3, j + h - 3]) + 2, int(down[i, j]) + 2, w, h
+        w = right(i, j) + 2
+        h = down(i + w - 3, j) + 2
+        yield left(i + w - 3, j + h - 3) + 2, down(i, j) + 2, w, h
 
 
 def find_l(plane: Plane, i: int, j: int, orientation: tuple[bool, bool]) -> tuple[int, int, int, int] | None:
     """(box_x, box_z, d_x, d_z) of the least L of an orientation whose bounding rectangle begins before (i, j), or None."""
     found = [(bx, bz, w - bx, h - bz) for bx, bz, w, h in _sizes(plane, i, j, orientation)]
-    w, h = int(plane.right[i, j]) + 2, int(plane.down[i, j]) + 2
+    w, h = plane.across(i, j)[0] + 2, plane.along(i, j)[0] + 2
     found += [(w, 3, 0, h - 3), (3, h, w - 3, 0)]  # a whole rectangle is an L with one arm or none
     fits = [s for s in found if _fits(plane, i, j, s, orientation)]
     return min(fits, key=lambda s: (s[1], s[0], s[3], s[2]), default=None)
@@ -135,10 +184,10 @@ def inside_cells(plane: Plane, i: int, j: int, size: tuple[int, int, int, int],
 
 def is_square(plane: Plane, i: int, j: int) -> bool:
     """Whether an isolated filled square begins at (i, j): its side is the run of filled cells from there on."""
-    n = int(plane.run[i, j])
+    n = plane.cells[0][1].run(j, i)[0]
     if not 0 < n <= min(plane.shape) - max(i, j):
         return False
-    return plane.total(0, i, j, i + n, j + n) == plane.total(0, i - 1, j - 1, i + n + 1, j + n + 1) == n * n
+    return plane.count(0, i, j, i + n, j + n) == n * n == plane.count(0, i - 1, j - 1, i + n + 1, j + n + 1)
 
 
 def l_cells(plane: Plane, anchors: list[tuple[int, int]]) -> set[tuple[int, int]]:

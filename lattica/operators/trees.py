@@ -148,12 +148,13 @@ def _by_layer(trees: DataFrame, find: Callable[[Plane, list], set]) -> DataFrame
     def look(part: pa.Table) -> pa.Table:
         of = {c: part.column(c).to_numpy() for c in ("x", "z", "wood", "under")}
         tree, x, z, end_x, end_z = (part.column(c)[0].as_py() for c in ("tree_id", "min_x", "min_z", "max_x", "max_z"))
-        at_x, at_z, low = of["x"] - x, of["z"] - z, of["under"].astype(bool)
-        filled, under = np.zeros((end_x - x + 1, end_z - z + 1), bool), np.zeros((end_x - x + 1, end_z - z + 1), bool)
-        filled[at_x[~low], at_z[~low]] = True
-        under[at_x[low], at_z[low]] = True
+        place = np.stack((of["x"] - x, of["z"] - z), axis=1).astype(np.int64)
+        low = of["under"].astype(bool)
+        filled = np.unique(place[~low], axis=0)
+        key = lambda p: p[:, 0] * (end_z - z + 1) + p[:, 1]
+        plane = Plane.of_cells(filled, filled[~np.isin(key(filled), key(place[low]))], (end_x - x + 1, end_z - z + 1))
         wood = of["wood"].astype(bool) & ~low
-        found = sorted(find(Plane(filled, under), sorted(zip(at_x[wood].tolist(), at_z[wood].tolist(), strict=True)))) if wood.any() else []
+        found = sorted(find(plane, sorted(map(tuple, place[wood].tolist())))) if wood.any() else []
         return pa.Table.from_arrays([pa.array([tree] * len(found), pa.int64()), *(pa.array([int(p[k]) + first for p in found], pa.int32()) for k, first in ((0, x), (1, z)))], schema=schema)
 
     n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be put together
