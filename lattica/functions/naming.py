@@ -14,3 +14,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def typed_path(text: str) -> str:
+    """A path as one types or pastes it: without quotes around it, with / for \\."""
+    return text.strip().strip("\"'").replace("\\", "/").rstrip("/").strip()

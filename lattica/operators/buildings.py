@@ -7,7 +7,7 @@ block: highest first, then by x and z.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import packed
@@ -98,14 +98,62 @@ def merged(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.unionByName(joined.select("building_id", "x", "y", "z", F.lit(True).alias("absorbed")))
 
 
-def find_buildings(blocks: DataFrame) -> DataFrame:
-    """(building_id, x, y, z, absorbed) from blocks x, y, z, name. Without a name: as `other`; of a place that repeats, the greatest name counts."""
+#: What a search counts, in this order.
+COUNTERS = ("blocks", "components", "uniform", "tiny", "buildings", "marked")
+
+
+class Counters:
+    """Numbers of a search, taken from the writes that it makes anyway."""
+
+    def __init__(self):
+        self.seen: list[Observation] = []
+
+    def on(self, df: DataFrame, **sums: Column) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in sums.items()])
+
+    def row(self) -> DataFrame:
+        """(blocks, components, uniform, tiny, buildings, marked): blocks read, components found, those discarded as all of one discardable
+        name and as tiny, buildings after merging, blocks that belong to one. For after the search."""
+        found = {k: v for s in self.seen for k, v in s.get.items()}
+        spark = SparkSession.getActiveSession()
+        return spark.range(1).select(*[F.lit(found.get(k, 0)).cast("long").alias(k) for k in COUNTERS])
+
+
+def kept(claims: DataFrame, counters: Counters | None = None, most: int = TINY) -> DataFrame:
+    """claims without the components that are discarded: as uniform, and of the others as tiny, by one grouped pass."""
+    kinds = claims.groupBy("comp").agg(
+        *[f(F.when(~F.col("is_natural"), F.col("name"))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))],
+        F.bool_and(F.when(~F.col("is_natural"), F.col("is_discardable"))).alias("all"),
+        F.min("name").alias("least"), F.max("name").alias("greatest"), F.count("*").alias("n"),
+    )
+    uniform = F.coalesce((F.col("low") == F.col("high")) & F.col("all"), F.lit(False))
+    tiny = ~uniform & F.coalesce(F.col("least") == F.col("greatest"), F.lit(False)) & (F.col("n") <= most)
+    kinds = kinds.select("comp", uniform.alias("uniform"), tiny.alias("tiny"))
+    if counters:
+        kinds = counters.on(kinds, components=F.count("*"), uniform=F.count_if("uniform"), tiny=F.count_if("tiny"))
+    bad = stored(kinds, "building-kinds").where("uniform or tiny").select("comp")
+    return stored(claims.join(bad, "comp", "left_anti"), "building-kept")
+
+
+def from_claims(named: DataFrame, claims: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """(building_id, x, y, z, absorbed): what discards and merges make of claims."""
+    found = merged(kept(claims, counters), named)
+    if counters:
+        found = stored(counters.on(found, marked=F.count("*"), buildings=F.max("building_id") + 1), "building-found")
+    return found
+
+
+def find_buildings(blocks: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """(building_id, x, y, z, absorbed) from blocks x, y, z, name. Without a name: as `other`; of a place that repeats, the greatest name counts.
+
+    counters: gets the numbers of the search.
+    """
     once = blocks.groupBy("x", "y", "z").agg(F.max(F.coalesce("name", F.lit("other"))).alias("name"))
-    named = stored(classified(once, "is_natural", "is_discardable"), "building-blocks")
+    named = classified(once, "is_natural", "is_discardable")
+    named = stored(counters.on(named, blocks=F.count("*")) if counters else named, "building-blocks")
     claims = stored(raw_components(named).join(named, ["x", "y", "z"]), "building-claims")
-    kept = claims.join(uniform_discards(claims), "comp", "left_anti")
-    kept = stored(kept.join(tiny_discards(kept), "comp", "left_anti"), "building-kept")
-    return merged(kept, named)
+    return from_claims(named, claims, counters)
 
 
 def marked(blocks: DataFrame, buildings: DataFrame, marker: str = "building_marker") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from .neighbors import exposed
 from .order import numbered
 
@@ -20,6 +22,9 @@ CORNERS = {
 MATERIALS = {"tree_marker": (0.50, 0.00, 0.80), "foliage_marker": (1.00, 0.00, 0.00), "leaf": (0.13, 0.55, 0.13), "wood": (0.40, 0.26, 0.13), "stumpable": (0.40, 0.40, 0.40), "other": (0.72, 0.72, 0.72)}
 # End of fixed values.
 
+#: Lines that a task writes into a file at once.
+ROWS_AT_ONCE = 1 << 17
+
 
 def _corners() -> Column:
     """The four corners of a face as offsets, by its normal."""
@@ -63,8 +68,8 @@ def face_color(color: str = "color", top: str = "top_color") -> Column:
 
 
 def building_color(building: Column) -> Column:
-    """A shade from green to blue for a building, from a hash of its number: [r, g, b] of hue 1/3 to 2/3, 0.9, 0.95."""
-    hue = F.lit(1 / 3) + F.pmod(F.xxhash64(building), F.lit(1_000_003)) / 1_000_002.0 / 3
+    """A shade from green to blue for a building, from its number, neighbours far apart: [r, g, b] of hue 1/3 to 2/3, 0.9, 0.95."""
+    hue = F.lit(1 / 3) + F.pmod(building.cast("long") * 618_034, F.lit(1_000_003)) / 1_000_002.0 / 3
     chroma, low = F.lit(0.95 * 0.90), F.lit(0.95 * 0.10)
     part = F.pmod(hue * 6, F.lit(2.0)) - 1
     other = chroma * (1 - F.abs(part)) + low
@@ -101,3 +106,38 @@ def mtl_lines(material: DataFrame) -> DataFrame:
 def write_lines(lines: DataFrame, folder: str, *order: str) -> None:
     """Writes column line as text: part files which, read in the order of their names, are in order."""
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(folder)
+
+
+def write_file(lines: DataFrame, path: str, *order: str) -> int:
+    """Writes column line as one text file, in order, and returns its bytes. Rows that are equal in the order come in any.
+
+    Ranges of the order are measured by their tasks, so each row's place in the file follows from sums, and tasks write their rows
+    there; a lost task writes the same bytes again. path: in a folder that all executors share and that takes writes at a place;
+    elsewhere, write_lines() leaves part files.
+    """
+    spark = lines.sparkSession
+    rows = numbered(lines.select("line", *order), list(order), "_row")
+    size = F.octet_length("line").cast("long") + 1
+    part = F.floor(F.col("_row") / ROWS_AT_ONCE)
+    rows = rows.select("line", "_row", size.alias("_size"), part.alias("_part"))
+    sums = rows.groupBy("_part").agg(F.sum("_size").alias("_own"))  # a row per so many lines
+    sums = stored(sums.select("_part", (F.sum("_own").over(Window.orderBy("_part")) - F.col("_own")).alias("_before"), "_own"), "file-parts")
+    total = sums.agg(F.sum("_own")).first()[0] or 0
+    with open(path, "wb") as out:
+        out.truncate(total)
+
+    def write(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_row")
+        at = part.column("_before")[0].as_py()
+        data = "".join(line + "\n" for line in part.column("line").to_pylist()).encode()
+        with open(path, "r+b") as out:
+            out.seek(at)
+            out.write(data)
+        return pa.table({"bytes": [len(data)]})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done = rows.join(sums.select("_part", "_before"), "_part").repartition(n, "_part").groupBy("_part").applyInArrow(write, "bytes long")
+    written = done.agg(F.sum("bytes")).first()[0] or 0
+    if written != total:
+        raise OSError(f"{written} of {total} bytes were written to {path}")
+    return total

@@ -224,6 +224,15 @@ def stumps(trees: DataFrame, cells: DataFrame) -> DataFrame:
     return best.select("tree_id", "b.x", "b.y", "b.z")
 
 
+def tree_lines(trees: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(tree_id, y, x, z, line): each block of a tree as name:prop:x.y.z, for a text of all trees (mesh.write_file by tree, from the top down).
+
+    blocks: x, y, z, name, prop. Without a name: other; without properties: None.
+    """
+    own = blocks.select(*PLACE, F.concat_ws(":", F.coalesce("name", F.lit("other")), F.coalesce("prop", F.lit("None")), F.format_string("%d.%d.%d", "x", "y", "z")).alias("line"))
+    return trees.select("tree_id", *PLACE).join(own, PLACE).select("tree_id", "y", "x", "z", "line")
+
+
 def remove_trees(blocks: DataFrame, exact: bool = True) -> DataFrame:
     """(x, y, z, name, prop, role): the world without trees.
 

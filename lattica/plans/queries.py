@@ -289,6 +289,21 @@ def obj_vertex_lines(spark, d):
     return lines.where("part = 1").select("line")
 
 
+_OBJ = (
+    _VERTEX
+    + f", quads AS (SELECT {CLASSES['category']} AS material, max(CASE WHEN k = 0 THEN vid END) AS v1, max(CASE WHEN k = 1 THEN vid END) AS v2, max(CASE WHEN k = 2 THEN vid END) AS v3, max(CASE WHEN k = 3 THEN vid END) AS v4 FROM faces f JOIN corner USING (dx, dy, dz) JOIN vertex p ON p.x = f.x + cx AND p.y = f.y + cy AND p.z = f.z + cz GROUP BY f.x, f.y, f.z, dx, dy, dz, name) "
+    + "SELECT 0 AS part, '' AS name, 0::BIGINT AS k, 'mtllib world.mtl' AS line UNION ALL SELECT 1, '', vid, 'v ' || x || ' ' || y || ' ' || z FROM vertex UNION ALL SELECT DISTINCT 2, material, -1, 'usemtl ' || material FROM quads UNION ALL SELECT 2, material, v1, 'f ' || v1 || ' ' || v2 || ' ' || v3 || ' ' || v4 FROM quads"
+)
+
+
+@query(_OBJ)
+def obj_lines(spark, d):
+    """The whole file: its head, vertices, and the quads of each material after its name."""
+    quads = stored(mesh.faces(classified(vox(spark, d), "category")), "quads")
+    vertex = mesh.vertices(quads)
+    return mesh.obj_lines(vertex, mesh.indexed(quads, vertex, "category"), "world.mtl").select("part", "name", "k", "line")
+
+
 # --- trees ---------------------------------------------------------------------------------------
 
 _NODE = "x::BIGINT * 274877906944 + (z + 33554432)::BIGINT * 4096 + (y + 2048)::BIGINT"
@@ -426,6 +441,11 @@ def orphan_split(spark, d):
     return trees.split_orphans(found).select("tree_id", "node")
 
 
+@query(_TREES + "SELECT t.tree_id, t.y, t.x, t.z, v.name || ':' || v.prop || ':' || t.x || '.' || t.y || '.' || t.z AS line FROM trees t JOIN vox v USING (x, y, z)", recursive=True)
+def tree_dump(spark, d):
+    return trees.tree_lines(trees.components(_cells(spark, d), exact=False), vox(spark, d))
+
+
 @query()
 def tree_rewrite(spark, d):
     return trees.remove_trees(vox(spark, d))
@@ -524,6 +544,28 @@ def building_rewrite(spark, d):
     return buildings.marked(vox(spark, d), buildings.merged(kept, named)).select(*_place("name", "building_id"))
 
 
+@query(
+    _MERGED
+    + "SELECT (SELECT count(*) FROM vox) AS blocks, (SELECT count(DISTINCT comp) FROM claims) AS components, (SELECT count(*) FROM uniform) AS uniform, (SELECT count(*) FROM tiny) AS tiny, (SELECT count(DISTINCT building_id) FROM found) AS buildings, (SELECT count(*) FROM found) AS marked",
+    recursive=True,
+)
+def building_counters(spark, d):
+    """The numbers of discards and merges, from in-plane components as if they were whole ones."""
+    counters = buildings.Counters()
+    named = stored(counters.on(classified(vox(spark, d), "is_natural", "is_discardable"), blocks=F.count("*")), "named")
+    claims = stored(named.join(buildings.plane_components(named).withColumnRenamed("plane", "comp"), ["x", "y", "z"]), "claims")
+    buildings.from_claims(named, claims, counters)
+    return counters.row()
+
+
+@query()
+def building_search_counters(spark, d):
+    """The numbers of a whole search."""
+    counters = buildings.Counters()
+    buildings.find_buildings(vox(spark, d), counters)
+    return counters.row()
+
+
 @query()
 def building_search(spark, d):
     return buildings.find_buildings(vox(spark, d))
@@ -557,6 +599,17 @@ def structure_faces(spark, d):
     return report.structure_faces(_structures(spark, d)).select("building_id", *_place("dx", "dy", "dz", "face_color"))
 
 
+@query(
+    _STRUCTURES
+    + ", own AS (SELECT building_id, 1 / 3.0::DOUBLE + ((building_id::BIGINT * 618034) % 1000003) / 1000002.0::DOUBLE / 3 AS hue FROM (SELECT DISTINCT building_id FROM parts)), shade AS (SELECT *, 0.855::DOUBLE AS chroma, 0.095::DOUBLE AS low, 0.855::DOUBLE * (1 - abs((hue * 6) % 2 - 1)) + 0.095::DOUBLE AS other FROM own) "
+    + "SELECT 'building_' || building_id AS material, round(low, 6) AS r, round(CASE WHEN hue < 0.5 THEN chroma + low ELSE other END, 6) AS g, round(CASE WHEN hue < 0.5 THEN other ELSE chroma + low END, 6) AS b FROM shade"
+)
+def building_materials(spark, d):
+    """Each building's own material, beside the fixed ones of materials."""
+    found = mesh.materials(_structures(spark, d).select(F.col("building_id").alias("building"))).where("material like 'building%'")
+    return found.select("material", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
 _SIDES = "sides(dx, dy, dz) AS (VALUES (1,0,0), (-1,0,0), (0,1,0), (0,-1,0), (0,0,1), (0,0,-1))"
 _SHOWN = f"{_SIDES}, shown AS (SELECT building_id, x, y, z, dx, dy, dz, CASE WHEN dy = 1 AND top_color IS NOT NULL THEN top_color ELSE color END AS face_color FROM parts p, sides s WHERE shape = 'cube' AND NOT EXISTS (SELECT 1 FROM parts o WHERE o.shape = 'cube' AND o.building_id = p.building_id AND o.x = p.x + dx AND o.y = p.y + dy AND o.z = p.z + dz))"
 _TRI = "tri(t, o, k) AS (VALUES (0,0,0), (0,1,1), (0,2,2), (1,0,0), (1,1,2), (1,2,3))"
