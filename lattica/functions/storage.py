@@ -39,3 +39,20 @@ def dropped(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def published(spark: SparkSession, draft: str, folder: str) -> None:
+    """Gives a folder that has been written in full its name, in one step. One of that name must be empty, if there is any."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(path(folder)):
+        if len(system.listStatus(path(folder))):
+            raise FileExistsError(folder)
+        system.delete(path(folder), False)
+    if not system.rename(path(draft), path(folder)):
+        raise OSError(f"{draft} could not be renamed to {folder}")
+
+
+def discarded(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

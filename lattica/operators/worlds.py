@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import discarded, published, stored
 from ..sources.dicts import read_dictionary, write_dictionary
 from ..sources.world import read_world, write_world
 from . import buildings, encode, report, trees
@@ -50,13 +51,24 @@ def load(spark: SparkSession, folder: str) -> World:
 
 
 def save(world: World, folder: str) -> DataFrame:
-    """Writes blocks/ (compressed files), ids/, properties/ and, with namespaces, namespaces/; returns the files of blocks."""
-    files = write_world(world.codes, f"{folder}/blocks")
-    write_dictionary(world.names, f"{folder}/ids")
-    write_dictionary(world.props, f"{folder}/properties", "prop", "raw")
-    if world.spaces is not None:
-        write_dictionary(world.spaces, f"{folder}/namespaces", "ns", "space")
-    return files
+    """Writes blocks/ (compressed files), ids/, properties/ and, with namespaces, namespaces/; returns the files of blocks.
+
+    All are written under another name beside the folder and get theirs in one step once they are whole: readers see a world with its
+    dictionaries or none, and one that fails leaves nothing. A folder that holds something already is an error.
+    """
+    spark, folder = world.codes.sparkSession, folder.rstrip("/")
+    draft = f"{folder}.{uuid.uuid4().hex}.draft"
+    try:
+        files = write_world(world.codes, f"{draft}/blocks")
+        write_dictionary(world.names, f"{draft}/ids")
+        write_dictionary(world.props, f"{draft}/properties", "prop", "raw")
+        if world.spaces is not None:
+            write_dictionary(world.spaces, f"{draft}/namespaces", "ns", "space")
+        published(spark, draft, folder)
+    except BaseException:
+        discarded(spark, draft)
+        raise
+    return files.withColumn("path", F.replace("path", F.lit(draft), F.lit(folder)))
 
 
 def without_trees(world: World, exact: bool = True) -> World:

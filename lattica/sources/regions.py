@@ -84,10 +84,12 @@ def palette_codes(longs: np.ndarray, n_palette: int, aligned: bool) -> np.ndarra
     return flat.reshape(4096, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
 
 
-def _sections(chunk: dict):
-    """(section, palette, codes) of a chunk, in either layout; sections of one kind of air are left out."""
+def _sections(chunk: dict, wanted=lambda y: True):
+    """(section, palette, codes) of a chunk, in either layout; sections of one kind of air, and those not wanted, are left out."""
     root = chunk.get("Level", chunk)
     for s in root.get("sections", root.get("Sections", [])):
+        if not wanted(s.get("Y", 0)):
+            continue
         states = s.get("block_states")
         palette, longs = (states.get("palette"), states.get("data")) if states else (s.get("Palette"), s.get("BlockStates"))
         if not palette or len(palette) == 1 and palette[0]["Name"].endswith("air"):
@@ -96,12 +98,12 @@ def _sections(chunk: dict):
         yield s["Y"], palette, codes
 
 
-def _chunks(file):
-    """(chunk's number in the region, tags or None, what is wrong)."""
+def _chunks(file, wanted=lambda k: True):
+    """(chunk's number in the region, tags or None, what is wrong); chunks that are not wanted are not read."""
     table = file.read_at(4096, 0)
     for k in range(len(table) // 4):
         place = int.from_bytes(table[4 * k : 4 * k + 3], "big")
-        if not place:
+        if not place or not wanted(k):
             continue
         try:
             size, press = struct.unpack(">IB", file.read_at(5, 4096 * place))
@@ -112,27 +114,32 @@ def _chunks(file):
             yield k, None, f"{type(e).__name__}: {e}"
 
 
+def sections_of(path: str, rx: int, rz: int, chunk=lambda cx, cz: True, section=lambda y: True):
+    """Arrow batches of SECTIONS for a region file: a row per section, and one for a chunk that cannot be read, with problem set."""
+    system, own = _system(path)
+    with system.open_input_file(own) as file:
+        for k, tags, problem in _chunks(file, lambda k: chunk(32 * rx + k % 32, 32 * rz + k // 32)):
+            place = [path, 32 * rx + k % 32, 32 * rz + k // 32]
+            rows = []
+            try:
+                for y, palette, codes in _sections(tags, section) if tags else ():
+                    props = [",".join(f"{a}={b}" for a, b in p.get("Properties", {}).items()) or "None" for p in palette]
+                    rows.append([*place, y, [p["Name"] for p in palette], props, codes, None])
+            except (ValueError, KeyError, TypeError) as e:
+                rows, problem = [], f"{type(e).__name__}: {e}"
+            if problem:
+                rows = [[*place, None, None, None, None, problem]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:
     """A row per section of the region files in a folder; a chunk that cannot be read is a row with problem set."""
 
     def read(batches):
         for batch in batches:
             for path, rx, rz in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system, own = _system(path)
-                with system.open_input_file(own) as file:
-                    for k, tags, problem in _chunks(file):
-                        place = [path, 32 * rx + k % 32, 32 * rz + k // 32]
-                        rows = []
-                        try:
-                            for y, palette, codes in _sections(tags) if tags else ():
-                                props = [",".join(f"{a}={b}" for a, b in p.get("Properties", {}).items()) or "None" for p in palette]
-                                rows.append([*place, y, [p["Name"] for p in palette], props, codes, None])
-                        except (ValueError, KeyError, TypeError) as e:
-                            rows, problem = [], f"{type(e).__name__}: {e}"
-                        if problem:
-                            rows = [[*place, None, None, None, None, problem]]
-                        if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+                yield from sections_of(path, rx, rz)
 
     name = r"(?i)r\.(-?\d+)\.(-?\d+)\.mca$"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][cC][aA]").load(folder).select("path")
