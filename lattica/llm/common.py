@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import operator
@@ -118,6 +120,13 @@ def open_input(uri: str):
     return system.open_input_file(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: allocators keep it, and the workers of an executor share what there is."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- Arrow batches ----------------------------------------------------------------------------
 
 

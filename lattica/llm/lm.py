@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import dropped
-from .common import arrow_batch, columns_as, lower_ascii, sliced, stored
+from .common import arrow_batch, columns_as, give_back, lower_ascii, sliced, stored
 
 #: The odd constants of a common 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -303,8 +303,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
             if size >= HELD_GRAMS:
                 yield from close()
                 held, size = [], 0
+                give_back()
         if held:
             yield from close()
+            held = []
+        give_back()
 
     held = pa.schema([("block", pa.int64()), ("bits", pa.binary()), ("entries", pa.int64())])
 
@@ -315,6 +318,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
         keys, times = keys[order], times[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         bits, entries = block(keys[first], np.add.reduceat(times, first), settings)
+        give_back()
         return pa.Table.from_batches([arrow_batch(held, [[part.column("block")[0].as_py()], [bits], [entries]])])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -331,13 +335,14 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
 # --- scores ---------------------------------------------------------------------------------------
 
 
-def _scorer(model: Model, frequent_from: int):
+def _scorer(model: Model, frequent_from: int, sent: list):
     """A function of (keys, ids, texts, levels) to a batch of RESULT: all but what rare words add to the base score."""
     spark = model.vocabulary.sparkSession
     settings, tokens, words, order = model.settings, model.tokens, model.words, model.settings.order
     frequent = model.vocabulary.where(F.col("n") >= frequent_from).collect()  # up to settings.frequent rows
     end = next((r.n for r in model.vocabulary.where("word = ''").collect()), 0)
     known = spark.sparkContext.broadcast((pa.array([r.word for r in frequent if r.word], pa.large_string()), np.array([r.n for r in frequent if r.word], np.float64)))
+    sent.append(known)
     whole = tokens + 1 * (words + 1)
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
@@ -361,22 +366,24 @@ def _scorer(model: Model, frequent_from: int):
     return score, schema
 
 
-def _scored_broadcast(rows: DataFrame, model: Model, frequent_from: int) -> DataFrame:
+def _scored_broadcast(rows: DataFrame, model: Model, frequent_from: int, sent: list) -> DataFrame:
     """RESULT for rows (key, doc_id, text), with the filter broadcast."""
-    score, _ = _scorer(model, frequent_from)
+    score, _ = _scorer(model, frequent_from, sent)
     blocks = {r.block: bytes(r.bits) for r in model.blocks.select("block", "bits").collect()}  # up to settings.broadcast_bytes
     held = rows.sparkSession.sparkContext.broadcast(Filter(blocks, model.shift, model.settings))
+    sent.append(held)
 
     def run(batches):
         for batch in sliced(batches, column=2, rows=1 << 20, size=SLICE):
             yield score(batch.column(0), batch.column(1), _large_texts(batch.column(2)), held.value.levels)
+            give_back()
 
     return rows.mapInArrow(run, RESULT)
 
 
-def _scored_shuffled(rows: DataFrame, model: Model, frequent_from: int) -> DataFrame:
+def _scored_shuffled(rows: DataFrame, model: Model, frequent_from: int, sent: list) -> DataFrame:
     """RESULT for rows (key, doc_id, text): n-grams of groups of texts are sent to their blocks and come back with levels."""
-    score, schema = _scorer(model, frequent_from)
+    score, schema = _scorer(model, frequent_from, sent)
     settings, shift = model.settings, model.shift
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -424,8 +431,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     rows = columns_as(docs, doc_id="doc_id", text="text").select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     way = _scored_broadcast if model.size <= model.settings.broadcast_bytes else _scored_shuffled
-    frequent_from = model.frequent_from()
-    found = stored(way(rows, model, frequent_from), "lm-scored")
+    frequent_from, sent = model.frequent_from(), []
+    found = stored(way(rows, model, frequent_from, sent), "lm-scored")
+    for broadcast in sent:
+        broadcast.unpersist()
     whole = model.tokens + 1 * (model.words + 1)
     rare = found.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = rare.join(model.vocabulary.where(F.col("n") < frequent_from), "word", "left")
