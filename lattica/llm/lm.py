@@ -200,7 +200,9 @@ class Filter:
         count = 1 << (64 - shift) if shift < 64 else 1
         sizes = np.array([len(blocks.get(k, b"")) for k in range(count)], np.int64)
         self.bits, self.starts = sizes * 8, np.cumsum(sizes) - sizes
-        self.data = np.frombuffer(b"".join(blocks.get(k, b"") for k in range(count)), np.uint8)
+        self.data = np.empty(int(sizes.sum()), np.uint8)
+        for k in range(count):  # a block goes as soon as it has been copied
+            self.data[self.starts[k] : self.starts[k] + sizes[k]] = np.frombuffer(blocks.pop(k, b""), np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level up to which all are found."""
@@ -369,8 +371,9 @@ def _scorer(model: Model, frequent_from: int, sent: list):
 def _scored_broadcast(rows: DataFrame, model: Model, frequent_from: int, sent: list) -> DataFrame:
     """RESULT for rows (key, doc_id, text), with the filter broadcast."""
     score, _ = _scorer(model, frequent_from, sent)
-    blocks = {r.block: bytes(r.bits) for r in model.blocks.select("block", "bits").collect()}  # up to settings.broadcast_bytes
+    blocks = {r.block: bytes(r.bits) for r in model.blocks.select("block", "bits").toLocalIterator()}  # up to settings.broadcast_bytes
     held = rows.sparkSession.sparkContext.broadcast(Filter(blocks, model.shift, model.settings))
+    give_back()
     sent.append(held)
 
     def run(batches):
