@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import classified
 from ..functions.props import as_map, relevant
+from ..functions.storage import apart
 from .encode import code_of, decoded
 from .mesh import face_color, faces, triangles
 
@@ -22,7 +23,7 @@ document.getElementById("list").textContent = structures.map(s => `${s.id}: ${s.
 
 def structure_blocks(buildings: DataFrame, blocks: DataFrame) -> DataFrame:
     """(building_id, x, y, z, name, prop, shape, color, top_color): buildings' blocks as they were. Places that blocks lack drop out."""
-    met = buildings.select("building_id", "x", "y", "z").join(blocks.select("x", "y", "z", "name", "prop"), ["x", "y", "z"])
+    met = buildings.select("building_id", "x", "y", "z").join(apart(blocks.select("x", "y", "z", "name", "prop")), ["x", "y", "z"])
     return classified(met, "shape", "color", "top_color")
 
 

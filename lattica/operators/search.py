@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import apart
 from .tiles import tile_number, tile_place
 
 #: What tiles say: labels for a tile beside, (plane, component) that reaches it, (component, level) alive, (component, level) asked for.
@@ -32,10 +33,10 @@ def routed(facts: DataFrame, members: DataFrame) -> DataFrame:
     blank = F.lit(None).cast("binary").alias("body")
     beside = facts.where(F.col("what") == BESIDE).select(F.col("a").alias("tile"), "what", F.lit(None).cast("long").alias("a"), "b", "body")
     least = facts.where(F.col("what") == REACHES).groupBy(F.col("a").alias("plane")).agg(F.min("b").alias("b"))
-    reached = members.join(least, "plane").select("tile", F.lit(REACHES).alias("what"), F.col("plane").alias("a"), "b", blank)
+    reached = members.join(apart(least), "plane").select("tile", F.lit(REACHES).alias("what"), F.col("plane").alias("a"), "b", blank)
     alive = facts.where(F.col("what") == ALIVE).select("a", "b").distinct()
     asked = facts.where(F.col("what") == ASKS).select(F.col("sender").alias("tile"), "a", "b")
-    answers = asked.join(alive, ["a", "b"]).select("tile", F.lit(ALIVE).alias("what"), "a", "b", blank)
+    answers = asked.join(apart(alive), ["a", "b"]).select("tile", F.lit(ALIVE).alias("what"), "a", "b", blank)
     return beside.unionByName(reached).unionByName(answers)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import discarded, published, stored
+from ..functions.storage import apart, discarded, published, stored
 from ..sources.dicts import read_dictionary, write_dictionary
 from ..sources.world import read_world, write_world
 from . import buildings, encode, report, trees
@@ -79,7 +79,7 @@ def without_trees(world: World, exact: bool = True) -> World:
     names = stored(encode.with_markers(world.names, *TREE_MARKERS), "tree-names")
     roles = trees.tree_roles(world.blocks().select("x", "y", "z", "name", "prop"), exact)
     stump, foliage = (encode.code_of(names, m) for m in TREE_MARKERS)
-    rows = world.codes.join(roles, ["x", "y", "z"], "left").where("role is null or role <> 'tree'")
+    rows = world.codes.join(apart(roles), ["x", "y", "z"], "left").where("role is null or role <> 'tree'")
     code = F.when(F.col("role") == "stump", stump).when(F.col("role") == "foliage", foliage).otherwise(F.col("id"))
     return World(rows.withColumn("id", code).select(*world.codes.columns), names, world.props, world.spaces)
 
@@ -89,7 +89,7 @@ def with_buildings(world: World) -> World:
     names = stored(encode.with_markers(world.names, BUILDING_MARKER), "building-names")
     marker = encode.code_of(names, BUILDING_MARKER)
     found = buildings.find_buildings(world.blocks()).select("x", "y", "z", "building_id")
-    rows = world.codes.join(found, ["x", "y", "z"], "left")
+    rows = world.codes.join(apart(found), ["x", "y", "z"], "left")
     own = F.col("building_id").isNotNull()
     rows = rows.withColumn("id", F.when(own, marker).otherwise(F.col("id"))).withColumn("prop", F.when(own, F.col("building_id")).otherwise(F.col("prop")))
     return World(rows.select(*world.codes.columns), names, world.props, world.spaces)

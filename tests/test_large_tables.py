@@ -1,10 +1,33 @@
-"""What must not grow on the driver or in a task."""
+"""What must not grow on the driver or in a task, and colours of buildings of any number."""
 
-from lattica.plans import synth
+import pytest
+
+import __spark_entry__ as entry
+from lattica.plans import queries, synth
 
 DIR = "/root/testdata/sf0.001"
 
 
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+@pytest.mark.parametrize("name", ["plane_cc8", "below_footprint_all", "sandwich_pairs", "building_counters", "adoption_edges_approx", "stump_select", "foliage_attach", "axis_check", "log_reach_approx", "tree_dump", "tree_rewrite"])
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch, name):
+    """These tables are small, so Spark would broadcast wherever it is left to choose, as it does for large ones whose files are small."""
+    seen, stored = [], queries.stored
+
+    def watched(df, to):
+        seen.extend(joins(df) if not to.startswith("reach-front") else [])
+        return stored(df, to)
+
+    for module in (queries, queries.trees, queries.buildings, entry.plans.connected_components):
+        monkeypatch.setitem(getattr(module, "__globals__", None) or vars(module), "stored", watched)
+    seen += joins(entry.queries()[name](spark, DIR))
+    assert [line for line in seen if "_range" not in line] == []  # a row per range, in order.numbered
+
+
 def test_places_are_dealt_before_they_are_sorted(spark):
     plan = synth.blocks(spark, DIR)._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
