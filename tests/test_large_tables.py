@@ -1,10 +1,14 @@
 """What must not grow on the driver or in a task, and colours of buildings of any number."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from lattica.operators import mesh
+from lattica.operators import mesh, trees
+from lattica.operators.shapes import Plane, is_square, l_cells
 from lattica.plans import queries, synth
 
 DIR = "/root/testdata/sf0.001"
@@ -43,3 +47,30 @@ def test_colours_of_buildings_of_any_number(spark):
     found = mesh.materials(spark.createDataFrame([(i,) for i in ids], "building int")).where("material like 'building%'")
     got = [(r.material, round(r.r, 6), round(r.g, 6), round(r.b, 6)) for r in found.collect()]
     assert sorted(got) == sorted((m, float(r), float(g), float(b)) for m, r, g, b in want)
+
+
+def test_layers_of_one_block_need_no_python(spark):
+    """Small trees at random: as plane by plane, though layers of one block go to no Python task."""
+    chance, rows = random.Random(3), []
+    for tree in range(150):
+        at = {(chance.randrange(3), chance.randrange(3), chance.randrange(4)) for _ in range(chance.randrange(1, 7))}
+        rows += [(tree, x - 5, y, z + 7, chance.choice(("log", "log", "leaf"))) for x, y, z in sorted(at)]
+    cells = spark.createDataFrame(rows, "tree_id long, x int, y int, z int, material string")
+    squares, ls, several = set(), set(), set()
+    for tree in range(150):
+        own = [r for r in rows if r[0] == tree]
+        x0, z0 = min(r[1] for r in own), min(r[3] for r in own)
+        shape = max(r[1] for r in own) - x0 + 1, max(r[3] for r in own) - z0 + 1
+        for y in {r[2] for r in own}:
+            filled, under = np.zeros(shape, bool), np.zeros(shape, bool)
+            for _, x, level, z, _ in own:
+                (filled if level == y else under if level == y - 1 else np.zeros(shape, bool))[x - x0, z - z0] = True
+            anchors = sorted((r[1] - x0, r[3] - z0) for r in own if r[2] == y and r[4] == "log")
+            plane = Plane(filled, under)
+            squares |= {(tree, i + x0, j + z0) for i, j in anchors if is_square(plane, i, j)}
+            ls |= {(tree, i + x0, j + z0) for i, j in l_cells(plane, anchors)}
+            several |= {(tree, y)} if filled.sum() > 1 and anchors else set()
+    assert {tuple(r) for r in trees.square_columns(cells).collect()} == squares
+    assert {tuple(r) for r in trees.l_columns(cells).collect()} == ls
+    plan = trees.square_columns(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert squares and ls and several and "NOT (first#" in plan.split("FlatMapGroupsInArrow")[1]
