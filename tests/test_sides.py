@@ -15,6 +15,7 @@ FEW = ("_range#", "sender#")
     "name",
     [
         "plane_cc8",
+        "stump_ground",
         "tree_classify",
         "tree_components",
     ],
