@@ -16,6 +16,7 @@ FEW = ("_range#", "sender#")
     [
         "plane_cc8",
         "stump_ground",
+        "stump_select",
         "tree_classify",
         "tree_components",
     ],
