@@ -14,6 +14,7 @@ FEW = ("_range#", "sender#")
 @pytest.mark.parametrize(
     "name",
     [
+        "axis_check",
         "plane_cc8",
         "stump_ground",
         "stump_select",
