@@ -15,6 +15,7 @@ FEW = ("_range#", "sender#")
     "name",
     [
         "axis_check",
+        "discard_tiny",
         "discard_uniform",
         "foliage_attach",
         "plane_cc8",
