@@ -15,6 +15,7 @@ FEW = ("_range#", "sender#")
     "name",
     [
         "axis_check",
+        "below_footprint",
         "discard_tiny",
         "discard_uniform",
         "foliage_attach",
