@@ -16,6 +16,7 @@ FEW = ("_range#", "sender#")
     [
         "axis_check",
         "below_footprint",
+        "below_footprint_all",
         "discard_tiny",
         "discard_uniform",
         "foliage_attach",
