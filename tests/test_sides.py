@@ -23,6 +23,7 @@ FEW = ("_range#", "sender#")
         "plane_cc8",
         "stump_ground",
         "stump_select",
+        "touch_pairs",
         "tree_classify",
         "tree_components",
     ],
