@@ -21,6 +21,7 @@ FEW = ("_range#", "sender#")
         "discard_uniform",
         "foliage_attach",
         "plane_cc8",
+        "sandwich_pairs",
         "stump_ground",
         "stump_select",
         "touch_pairs",
