@@ -17,6 +17,7 @@ FEW = ("_range#", "sender#")
         "axis_check",
         "below_footprint",
         "below_footprint_all",
+        "building_merge",
         "discard_tiny",
         "discard_uniform",
         "foliage_attach",
