@@ -18,6 +18,7 @@ FEW = ("_range#", "sender#")
         "below_footprint",
         "below_footprint_all",
         "building_merge",
+        "building_rewrite",
         "discard_tiny",
         "discard_uniform",
         "foliage_attach",
