@@ -74,3 +74,24 @@ def test_layers_of_one_block_need_no_python(spark):
     assert {tuple(r) for r in trees.l_columns(cells).collect()} == ls
     plan = trees.square_columns(cells)._jdf.queryExecution().optimizedPlan().toString()
     assert squares and ls and several and "NOT (first#" in plan.split("FlatMapGroupsInArrow")[1]
+
+
+def test_layers_go_to_python_in_lots_that_are_dealt_out(spark):
+    """By tree and level they were calls of a few cells each, in the few partitions that adaptive execution had left of a join."""
+    rows = [(tree, x, y, 0, "log") for tree in range(40) for y in range(3) for x in range(1 + tree % 3)]
+    rows += [(100, x, 0, z, "log") for x in range(9) for z in range(9)]  # more than trees.FEW
+    found = trees.square_columns(spark.createDataFrame(rows, "tree_id long, x int, y int, z int, material string"))
+    assert {tuple(r) for r in found.collect()} == {(tree, 0, 0) for tree in range(0, 40, 3)} | {(100, 0, 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow", 1)[1]
+    assert plan.startswith(" [lot#") and "REPARTITION_BY_NUM" in plan[: plan.index("SortMergeJoin")]
+
+
+def test_squares_of_few_cells_are_those_of_many():
+    chance = np.random.default_rng(5)
+    for _ in range(400):
+        filled, under = chance.random((5, 6)) < 0.6, chance.random((5, 6)) < 0.3
+        cells = lambda grid: {(int(i), int(j)) for i, j in np.argwhere(grid)}
+        many, few = Plane(filled, under), Plane.of_few(cells(filled), cells(filled & ~under), (5, 6))
+        anchors = sorted(cells(filled))
+        assert [is_square(few, *a) for a in anchors] == [is_square(many, *a) for a in anchors]
+        assert l_cells(few, anchors) == l_cells(many, anchors)

@@ -24,6 +24,7 @@ FEW = ("_range#", "sender#")
         "foliage_attach",
         "plane_cc8",
         "sandwich_pairs",
+        "square_cells_approx",
         "stump_ground",
         "stump_select",
         "touch_pairs",
