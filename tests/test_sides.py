@@ -19,6 +19,7 @@ FEW = ("_range#", "sender#")
         "below_footprint_all",
         "building_counters",
         "building_merge",
+        "building_raw",
         "building_rewrite",
         "discard_tiny",
         "discard_uniform",
