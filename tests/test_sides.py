@@ -21,6 +21,7 @@ FEW = ("_range#", "sender#")
         "building_merge",
         "building_raw",
         "building_rewrite",
+        "building_search_counters",
         "discard_tiny",
         "discard_uniform",
         "foliage_attach",
