@@ -25,6 +25,7 @@ FEW = ("_range#", "sender#")
         "discard_tiny",
         "discard_uniform",
         "foliage_attach",
+        "log_reach_approx",
         "plane_cc8",
         "sandwich_pairs",
         "square_cells_approx",
