@@ -1,0 +1,52 @@
+"""Components that are most of a world: no task gets all their blocks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.operators import buildings
+
+SIDE = 24
+
+
+@pytest.fixture
+def tiled(monkeypatch):
+    monkeypatch.setattr(buildings, "TILE_SIDE", 4)
+
+
+@pytest.fixture
+def apart_only(spark):
+    """Without adaptive execution, which may put partitions of so small a table together."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def most_in_a_task(df):
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+def slab(spark, names=("oak_planks", "glass")):
+    rows = [(x, 0, z, names[(x + z) % 2], False, False, 1) for x in range(SIDE) for z in range(SIDE)]
+    rows += [(x, 0, 40, "glass", False, False, 2) for x in range(3)]  # tiny
+    return spark.createDataFrame(rows, "x int, y int, z int, name string, is_natural boolean, is_discardable boolean, comp long")
+
+
+def test_discards_deal_a_large_component_over_tasks(apart_only, tiled, monkeypatch):
+    seen, stored = {}, buildings.stored
+    monkeypatch.setattr(buildings, "stored", lambda df, name: stored(seen.setdefault(name, df), name))
+    kept = buildings.kept(slab(apart_only))
+    assert kept.count() == SIDE * SIDE and {r.comp for r in kept.select("comp").distinct().collect()} == {1}
+    assert most_in_a_task(seen["building-kept"]) < 0.6
+
+
+def test_merges_deal_a_large_component_over_tasks(apart_only, tiled):
+    claims = slab(apart_only)
+    extra = apart_only.createDataFrame([(x, 1, z) for x in range(4) for z in range(SIDE)] + [(x, 2, z) for x in range(4) for z in range(SIDE)], "x int, y int, z int")
+    top = extra.where("y = 2").select("*", F.lit("glass").alias("name"), F.lit(False).alias("is_natural"), F.lit(False).alias("is_discardable"), F.lit(3).cast("long").alias("comp"))
+    claims = buildings.stored(claims.unionByName(top), "test-claims")
+    found = buildings.merged(claims, claims.select("x", "y", "z").unionByName(extra.where("y = 1")))
+    own, absorbed = found.where("not absorbed"), found.where("absorbed")
+    assert {tuple(r) for r in own.groupBy("building_id").count().collect()} == {(0, SIDE * SIDE + 4 * SIDE), (1, 3)}
+    assert {tuple(r) for r in absorbed.groupBy("building_id").count().collect()} == {(0, 4 * SIDE)}
+    assert most_in_a_task(own) < 0.6
