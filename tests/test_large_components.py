@@ -50,3 +50,16 @@ def test_merges_deal_a_large_component_over_tasks(apart_only, tiled):
     assert {tuple(r) for r in own.groupBy("building_id").count().collect()} == {(0, SIDE * SIDE + 4 * SIDE), (1, 3)}
     assert {tuple(r) for r in absorbed.groupBy("building_id").count().collect()} == {(0, 4 * SIDE)}
     assert most_in_a_task(own) < 0.6
+
+
+def test_natural_blocks_and_large_planes_are_dealt_by_tile(apart_only, tiled, monkeypatch):
+    seen, settled = [], buildings.settled
+
+    def watched(cells, *rest):
+        seen.append(cells)
+        return settled(cells, *rest)
+
+    monkeypatch.setattr(buildings, "settled", watched)
+    blocks = apart_only.createDataFrame([(x, y, z, bool(y < 2)) for x in range(SIDE) for y in range(3) for z in range(SIDE)], "x int, y int, z int, is_natural boolean")
+    assert {tuple(r) for r in buildings.raw_components(blocks).groupBy("y").count().collect()} == {(2, SIDE * SIDE)}
+    assert most_in_a_task(seen[0].where("plane is null")) < 0.6 and most_in_a_task(seen[0].where("plane is not null")) < 0.6
