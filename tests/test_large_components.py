@@ -63,3 +63,14 @@ def test_natural_blocks_and_large_planes_are_dealt_by_tile(apart_only, tiled, mo
     blocks = apart_only.createDataFrame([(x, y, z, bool(y < 2)) for x in range(SIDE) for y in range(3) for z in range(SIDE)], "x int, y int, z int, is_natural boolean")
     assert {tuple(r) for r in buildings.raw_components(blocks).groupBy("y").count().collect()} == {(2, SIDE * SIDE)}
     assert most_in_a_task(seen[0].where("plane is null")) < 0.6 and most_in_a_task(seen[0].where("plane is not null")) < 0.6
+
+
+def test_blocks_around_a_place_meet_before_they_are_shuffled(spark, monkeypatch):
+    """A whole layer, dealt out at random: with tiles of its size, each task hands on what lies below its tiles, not nine rows a block."""
+    monkeypatch.setattr(buildings, "TILE_SIDE", 12)
+    layer = buildings.stored(slab(spark).repartition(8), "test-layer")
+    got = buildings.below(layer)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = {(c, x + i, -1, z + j) for x, z, c in [(x, z, 1) for x in range(SIDE) for z in range(SIDE)] + [(x, 40, 2) for x in range(3)] for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "REPARTITION_BY_NUM" in plan
