@@ -6,9 +6,10 @@ missing, so it is never too low, and too high with a probability that falls with
 smoothed by those of the next lower one (a Dirichlet prior), down to single words with one added to each.
 
 N-grams are 64-bit hashes, counted before they are shuffled and sent to one block of the filter by their leading bits; a block is
-as large as its entries need. Up to a bound the blocks are broadcast. Beyond, texts are grouped, the n-grams of a group are sent to
-their blocks and come back with their levels: the same filter, the same scores. Exact counts of words, for the base score, are
-broadcast for a bounded number of the most frequent words and joined for the rest.
+as large as its entries need. Up to a bound the blocks are broadcast. Beyond, texts are put into teams, the n-grams of a team are sent
+to their blocks, where those that many teams ask for are probed once, and their levels come back in the same order: the same filter,
+the same scores. Exact counts of words, for the base score, are broadcast for a bounded number of the most frequent words and joined
+for the rest.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 WORD_BYTES = 1 << 16
 _POWERS: dict[int, np.ndarray] = {}
 END = xxhash.xxh64_intdigest(b"", 1)
-#: Bytes of text that a task takes apart at once, and n-grams that it adds up before it hands them on.
-SLICE, HELD_GRAMS = 2 << 20, 1 << 20
+#: Bytes of text that a task takes apart at once, and n-grams and words that it adds up before it hands them on.
+SLICE, HELD_GRAMS, HELD_WORDS = 2 << 20, 1 << 20, 1 << 20
+#: N-grams that are probed at once: what is worked out for them stays in a processor's cache. Neighbouring blocks that are asked together.
+PROBED, SHARE = 1 << 16, 4
 RESULT = "key long, doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, times array<long>"
 
 
@@ -48,7 +51,7 @@ class Settings:
     hashes: int = 4
     #: How many tokens of a history the lower order weighs as much as.
     prior: float = 32.0
-    #: Bytes of text for each block of the filter, and of a group where the filter is not broadcast.
+    #: Bytes of text for each block of the filter, and of a team where the filter is not broadcast.
     block_text: int = 4 << 20
     #: Bytes up to which the filter is broadcast.
     broadcast_bytes: int = 128 << 20
@@ -106,6 +109,17 @@ def hashed(words: pa.Array) -> np.ndarray:
     return out
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The values once each, ascending; a place and the times of each; the place among them of every value."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+    times = np.diff(np.append(new, len(values)))
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.repeat(np.arange(len(new)), times)
+    return values[new], order[new], inverse, times
+
+
 class Grams:
     """The tokens of texts (each ending with the end), and their n-grams by order, hashed."""
 
@@ -138,7 +152,7 @@ class Grams:
                 self.hashes.append(mixed(self.hashes[-1][pair // len(hashes)] * np.uint64(MIX[0]) + hashes[pair % len(hashes)] + np.uint64(n)))
                 break
             whole = np.flatnonzero(place >= n - 2)
-            pair, first, inverse, times = np.unique(before[whole] * len(hashes) + self.codes[whole], return_index=True, return_inverse=True, return_counts=True)
+            pair, first, inverse, times = _distinct(before[whole] * len(hashes) + self.codes[whole])
             ids = np.full(len(self.codes), -1, np.int64)
             ids[whole] = inverse
             self.hashes.append(mixed(self.hashes[-1][pair // len(hashes)] * np.uint64(MIX[0]) + hashes[pair % len(hashes)] + np.uint64(n)))
@@ -148,16 +162,14 @@ class Grams:
             before = np.concatenate(([0], ids[:-1]))
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """All n-grams' hashes, ascending, and how often each occurs."""
+        """All n-grams' hashes and how often each occurs."""
         keys, times = np.concatenate(self.hashes), np.concatenate(self.times)
-        keys, times = keys[times > 0], times[times > 0]
-        order = np.argsort(keys)
-        return keys[order], times[order]
+        return keys[times > 0], times[times > 0]
 
     def log_probabilities(self, levels, settings: Settings, tokens: int, words: int) -> np.ndarray:
-        """log10 of each token's probability; levels gives those of hashes."""
-        expected = settings.expected()
-        counts = [expected[levels(h)] for h in self.hashes]
+        """log10 of each token's probability; levels gives those of the n-grams' distinct hashes, ascending."""
+        keys, _, place, _ = _distinct(np.concatenate(self.hashes))
+        counts = np.split(settings.expected()[levels(keys)][place], np.cumsum([len(h) for h in self.hashes])[:-1])
         p = (counts[0] + 1) / (tokens + words + 1)
         of = p[self.codes]
         for n in range(2, settings.order + 1):
@@ -199,28 +211,39 @@ class Filter:
         self.shift, self.settings = shift, settings
         count = 1 << (64 - shift) if shift < 64 else 1
         sizes = np.array([len(blocks.get(k, b"")) for k in range(count)], np.int64)
-        self.bits, self.starts = sizes * 8, np.cumsum(sizes) - sizes
+        starts = np.cumsum(sizes) - sizes
+        self.bits, self.starts = (sizes * 8).astype(np.uint64), (starts * 8).astype(np.uint64)
         self.data = np.empty(int(sizes.sum()), np.uint8)
         for k in range(count):  # a block goes as soon as it has been copied
-            self.data[self.starts[k] : self.starts[k] + sizes[k]] = np.frombuffer(blocks.pop(k, b""), np.uint8)
+            self.data[starts[k] : starts[k] + sizes[k]] = np.frombuffer(blocks.pop(k, b""), np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level up to which all are found."""
-        of = (keys >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
-        bits, starts = self.bits[of], self.starts[of]
-        out, left, level = np.zeros(len(keys), np.int64), np.flatnonzero(bits > 0), 0
-        last = len(self.settings.thresholds())
-        while len(left) and level < last:
-            level += 1
-            b, s = bits[left], starts[left]
-            first, step = _start_and_step(keys[left], level)
-            for i in range(self.settings.hashes):
-                place = ((first + np.uint64(i) * step) % b.astype(np.uint64)).astype(np.int64)
-                ok = (self.data[s + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
-                left, b, s, first, step = left[ok], b[ok], s[ok], first[ok], step[ok]
-            out[left] = level
+        """The level up to which all are found; ascending keys take the least time, as they go from block to block."""
+        out, last = np.zeros(len(keys), np.int64), len(self.settings.thresholds())
+        for at in range(0, len(keys), PROBED):
+            found, k = out[at : at + PROBED], keys[at : at + PROBED]
+            of = (k >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(k), np.int64)
+            left = np.flatnonzero(self.bits[of] > 0)
+            k, bits, starts, level = k[left], self.bits[of[left]], self.starts[of[left]], 0
+            while len(left) and level < last:
+                level += 1
+                ok = self._hit(k, level, bits, starts)
+                left, k, bits, starts = left[ok], k[ok], bits[ok], starts[ok]
+                found[left] = level
         return out
 
+    def _hit(self, keys: np.ndarray, level: int, bits: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which keys have all bits of a level in their blocks."""
+        place, step = _start_and_step(keys, level)
+        place, step, ok = place % bits, step % bits, np.ones(len(keys), np.uint8)
+        for i in range(self.settings.hashes):
+            if i:
+                place += step
+                place = np.minimum(place, place - bits)  # below zero it wraps around
+            at = starts + place
+            ok &= self.data[(at >> np.uint64(3)).view(np.int64)] >> (at.astype(np.uint8) & np.uint8(7))
+        return np.flatnonzero(ok & np.uint8(1))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -253,11 +276,6 @@ def _by_block(keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.
     return of[begin], begin, np.append(begin[1:], len(keys))
 
 
-def _packed(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, dtype: str) -> list[bytes]:
-    data, size = keys.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-    return [data[a * size : b * size] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-
-
 def _pressed(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
     """Pieces of whole numbers as their steps, byte by byte in planes, compressed."""
     press, values = zstandard.ZstdCompressor(level=1), values.astype("<u8")
@@ -281,34 +299,43 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     shift = 64 - max(0, (-(-size // settings.block_text) - 1).bit_length()) if size else 64
     pieces = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
-    def count(batches):
-        held, size = [], 0
-
-        def close():
-            keys, times = (np.concatenate([h[i] for h in held]) for i in range(2))
-            order = np.argsort(keys)
-            keys, times = keys[order], times[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, times = keys[first], np.add.reduceat(times, first)
-            at, begin, end = _by_block(keys, shift)
-            yield arrow_batch(pieces, [at, _pressed(keys, begin, end), _pressed(times, begin, end), pa.nulls(len(at), pieces.field("words").type), pa.nulls(len(at), pieces.field("n").type)])
-            words = pa.concat_tables([h[2] for h in held]).group_by("word").aggregate([("n", "sum")])
-            lists = [pa.ListArray.from_arrays([0, words.num_rows], words.column(c).combine_chunks().cast(kind)) for c, kind in (("word", pa.string()), ("n_sum", pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], schema=pieces)
+    def added(held):
+        """A row for each block that the held n-grams lie in."""
+        keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, times = keys[first], np.add.reduceat(times, first)
+        at, begin, end = _by_block(keys, shift)
+        return arrow_batch(pieces, [at, _pressed(keys, begin, end), _pressed(times, begin, end), pa.nulls(len(at), pieces.field("words").type), pa.nulls(len(at), pieces.field("n").type)])
+
+    def listed(held):
+        """A row with the held words."""
+        words = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+        n = np.zeros(len(words.dictionary), np.int64)
+        np.add.at(n, words.indices.to_numpy(), np.concatenate([n for _, n in held]))
+        lists = [pa.ListArray.from_arrays([0, len(n)], x) for x in (words.dictionary.cast(pa.string()), pa.array(n))]
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], schema=pieces)
 
+    def count(batches):
+        held, words = [], []
         for batch in sliced(batches, column=0, rows=1 << 20, size=SLICE):
             grams = Grams(_large_texts(batch.column(0)), settings.order, scoring=False)
             own = np.flatnonzero(grams.times[0])
-            words = pa.concat_arrays([pa.array([""], pa.large_string()), grams.words]).take(pa.array(own))
-            held.append((*grams.counted(), pa.table({"word": words, "n": grams.times[0][own]})))
-            size += len(held[-1][0])
-            if size >= HELD_GRAMS:
-                yield from close()
-                held, size = [], 0
+            held.append(grams.counted())
+            words.append((pa.concat_arrays([pa.array([""], pa.large_string()), grams.words]).take(pa.array(own)), grams.times[0][own]))
+            if sum(len(keys) for keys, _ in held) >= HELD_GRAMS:
+                yield added(held)
+                held = []
                 give_back()
+            if sum(len(n) for _, n in words) >= HELD_WORDS:
+                yield listed(words)
+                words = []
+        if words:
+            yield listed(words)
         if held:
-            yield from close()
-            held = []
+            yield added(held)
+        held, words = [], []
         give_back()
 
     held = pa.schema([("block", pa.int64()), ("bits", pa.binary()), ("entries", pa.int64())])
@@ -385,43 +412,63 @@ def _scored_broadcast(rows: DataFrame, model: Model, frequent_from: int, sent: l
 
 
 def _scored_shuffled(rows: DataFrame, model: Model, frequent_from: int, sent: list) -> DataFrame:
-    """RESULT for rows (key, doc_id, text): n-grams of groups of texts are sent to their blocks and come back with levels."""
+    """RESULT for rows (key, doc_id, text): n-grams of teams of texts are sent to their blocks, and levels come back in their order.
+
+    A team's texts are one row, so they are stored and shuffled once. Blocks are asked together with their neighbours.
+    """
     score, schema = _scorer(model, frequent_from, sent)
     settings, shift = model.settings, model.shift
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    groups = max(1, -(-size // settings.block_text))
-    rows = stored(rows.withColumn("team", F.pmod(F.xxhash64("key"), F.lit(groups))).repartition(n, "team"), "lm-teams")
-    asked_schema = pa.schema([("block", pa.int64()), ("team", pa.int64()), ("keys", pa.binary())])
-    answer_schema = pa.schema([("team", pa.int64()), ("keys", pa.binary()), ("levels", pa.binary())])
-
-    def ask(part: pa.Table) -> pa.Table:
-        grams = Grams(_large_texts(part.column("text").combine_chunks()), settings.order)
-        keys = np.unique(np.concatenate(grams.hashes))
-        block_of, begin, end = _by_block(keys, shift)
-        return pa.Table.from_batches([arrow_batch(asked_schema, [block_of, np.full(len(block_of), part.column("team")[0].as_py()), _packed(keys, begin, end, "<u8")])])
+    team_schema = pa.schema([("team", pa.int64()), ("texts", pa.binary())])
+    asked_schema = pa.schema([("share", pa.int64()), ("team", pa.int64()), ("keys", pa.binary())])
+    answer_schema = pa.schema([("team", pa.int64()), ("share", pa.int64()), ("levels", pa.binary())])
+
+    def gather(batches):
+        press = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in sliced(batches, column=2, rows=1 << 20, size=settings.block_text):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=press) as stream:
+                stream.write_batch(batch)
+            yield arrow_batch(team_schema, [batch.column(0).slice(0, 1), [out.getvalue().to_pybytes()]])
+
+    def texts_of(data: pa.Scalar) -> tuple[pa.Array, pa.Array, pa.Array]:
+        key, ids, texts = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().columns
+        return key.combine_chunks(), ids.combine_chunks(), _large_texts(texts.combine_chunks())
+
+    def ask(batches):
+        for batch in batches:
+            for team, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.sort(np.concatenate(Grams(texts_of(data)[2], settings.order, scoring=False).hashes))
+                keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+                share, begin, end = _by_block(keys, min(64, shift + SHARE.bit_length() - 1))
+                yield arrow_batch(asked_schema, [share, np.full(len(share), team), _pressed(keys, begin, end)])
+                give_back()
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        blocks = {0: held.column("bits")[0].as_py()} if held.num_rows else {}
-        one = Filter(blocks, 64, settings)  # the rows are all of this block
-        keys = asked.column("keys").to_pylist()
-        found = [one.levels(np.frombuffer(k, "<u8")).astype(np.uint8).tobytes() for k in keys]
-        return pa.Table.from_batches([arrow_batch(answer_schema, [asked.column("team").combine_chunks().to_numpy(), keys, found])])
-
-    def join(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.Table.from_batches([], schema=schema)
-        keys = np.frombuffer(b"".join(answers.column("keys").to_pylist()), "<u8")
-        found = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
-        order = np.argsort(keys)
-        keys, found = keys[order], found[order]
-        levels = lambda wanted: found[np.searchsorted(keys, wanted)].astype(np.int64)
-        return pa.Table.from_batches([score(texts.column("key").combine_chunks(), texts.column("doc_id").combine_chunks(), _large_texts(texts.column("text").combine_chunks()), levels)])
+        if not asked.num_rows:
+            return answer_schema.empty_table()
+        share = Filter(dict(zip(held.column("block").to_pylist(), held.column("bits").to_pylist(), strict=True)), shift, settings)
+        keys = [_unpressed(x).cumsum(dtype=np.uint64) for x in asked.column("keys").to_pylist()]
+        ends = np.cumsum([0, *map(len, keys)]).tolist()
+        distinct, _, place, _ = _distinct(np.concatenate(keys))  # teams share most of them
+        del keys
+        found = share.levels(distinct).astype(np.uint8)[place].tobytes()
+        give_back()
+        return pa.Table.from_batches([arrow_batch(answer_schema, [asked.column("team").combine_chunks(), asked.column("share").combine_chunks(), [found[a:b] for a, b in zip(ends, ends[1:])]])])
+
+    def join(teams: pa.Table, answers: pa.Table) -> pa.Table:
+        if not teams.num_rows:
+            return schema.empty_table()
+        found = np.frombuffer(b"".join(answers.sort_by("share").column("levels").to_pylist()), np.uint8).astype(np.int64)
+        out = score(*texts_of(teams.column("texts")[0]), lambda keys: found)
+        give_back()
+        return pa.Table.from_batches([out])
 
-    asked = rows.repartition(n, "team").groupBy("team").applyInArrow(ask, "block long, team long, keys binary")
-    filters = model.blocks.select("block", "bits")
-    answers = asked.repartition(n, "block").groupBy("block").cogroup(filters.repartition(n, "block").groupBy("block")).applyInArrow(answer, "team long, keys binary, levels binary")
-    return rows.repartition(n, "team").groupBy("team").cogroup(answers.repartition(n, "team").groupBy("team")).applyInArrow(join, RESULT)
+    teams = stored(rows.mapInArrow(gather, "team long, texts binary"), "lm-teams")
+    asked = teams.mapInArrow(ask, "share long, team long, keys binary")
+    filters = model.blocks.select("block", "bits", F.shiftright("block", SHARE.bit_length() - 1).alias("share"))
+    answers = asked.repartition(n, "share").groupBy("share").cogroup(filters.repartition(n, "share").groupBy("share")).applyInArrow(answer, "team long, share long, levels binary")
+    return teams.repartition(n, "team").groupBy("team").cogroup(answers.repartition(n, "team").groupBy("team")).applyInArrow(join, RESULT)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -440,7 +487,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         broadcast.unpersist()
     whole = model.tokens + 1 * (model.words + 1)
     rare = found.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    rare = rare.join(model.vocabulary.where(F.col("n") < frequent_from), "word", "left")
+    rare = rare.join(model.vocabulary.where(F.col("n") < frequent_from).hint("shuffle_hash"), "word", "left")  # a task's share of words is small
     added = rare.groupBy("key").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(whole))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known"))
     out = found.drop("words", "times").join(added, "key", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

@@ -103,3 +103,46 @@ def test_a_text_of_the_kind_scores_higher(docs):
     texts = spark.createDataFrame([(1, " ".join(line)), (2, " ".join(shuffled)), (3, " ".join(w[::-1] + "q" for w in line))], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.score(texts, model).collect()}
     assert got[1] > got[2] > got[3]
+
+
+def test_texts_are_shuffled_once_and_levels_come_back_alone(docs):
+    """Where the filter is not broadcast, a text crosses the network once and an n-gram in one direction only."""
+    s = lm.Settings(block_text=20_000, broadcast_bytes=0)
+    model = lm.train(docs, s)
+    rows = docs.selectExpr("monotonically_increasing_id() AS key", "doc_id", "text")
+
+    def dealt(node):
+        own = [{c.name() for c in outputs(node)}] if node.nodeName() == "RepartitionByExpression" else []
+        return own + [x for k in range(node.children().size()) for x in dealt(node.children().apply(k))]
+
+    def outputs(node):
+        return [node.output().apply(k) for k in range(node.output().size())]
+
+    found = dealt(lm._scored_shuffled(rows, model, model.frequent_from(), [])._jdf.queryExecution().analyzed())
+    assert sorted(map(sorted, found)) == [["bits", "block", "share"], ["keys", "share", "team"], ["levels", "share", "team"], ["team", "texts"]]
+
+
+def test_levels_of_keys_in_any_order_and_number():
+    rng, s = np.random.default_rng(3), lm.Settings()
+    keys = np.unique(rng.integers(0, 1 << 63, 30_000).astype(np.uint64) * np.uint64(2))
+    counts = (rng.pareto(0.7, len(keys)) + 1).astype(np.int64)
+    of = (keys >> np.uint64(62)).astype(np.int64)
+    blocks = {k: lm.block(keys[of == k], counts[of == k], s)[0] for k in (0, 1, 3)}  # one has no entry
+    held = lm.Filter(dict(blocks), 62, s)
+    asked = np.concatenate((keys, rng.integers(0, 1 << 63, 50_000).astype(np.uint64)))
+
+    def plain(key):
+        data, found = blocks.get(int(key) >> 62, b""), 0
+        while data and found < len(s.thresholds()):
+            first, step = (int(x[0]) for x in lm._start_and_step(np.array([key], np.uint64), found + 1))
+            places = [(first + i * step) % (8 * len(data)) for i in range(s.hashes)]
+            if not all(data[p >> 3] >> (p & 7) & 1 for p in places):
+                break
+            found += 1
+        return found
+
+    got = held.levels(asked)
+    order = rng.permutation(len(asked))
+    assert (held.levels(asked[order]) == got[order]).all() and (held.levels(np.sort(asked)) == got[np.argsort(asked)]).all()
+    some = rng.choice(len(asked), 500, replace=False)
+    assert [plain(asked[k]) for k in some] == got[some].tolist()
