@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import dropped
+from ..functions.storage import dropped, shuffles_released
 from .common import arrow_batch, columns_as, give_back, lower_ascii, sliced, stored
 
 #: The odd constants of a common 64-bit mixing function.
@@ -353,9 +353,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stored(texts.mapInArrow(count, "block long, keys binary, times binary, words array<string>, n array<long>"), "lm-counted")
     blocks = found.where("block is not null").select("block", "keys", "times").repartition(n, "block").groupBy("block").applyInArrow(fill, "block long, bits binary, entries long")
-    blocks = stored(blocks, "lm-filter")
+    with shuffles_released(spark):
+        blocks = stored(blocks, "lm-filter")
     words = found.where("words is not null").select(F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n").alias("n"))
-    words = stored(words, "lm-words")
+    with shuffles_released(spark):
+        words = stored(words, "lm-words")
     dropped(found)
     about = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
     return Model(blocks, words, shift, about.tokens or 0, about.words, blocks.agg(F.sum(F.octet_length("bits")).alias("n")).first().n or 0, settings)
@@ -465,6 +467,7 @@ def _scored_shuffled(rows: DataFrame, model: Model, frequent_from: int, sent: li
         return pa.Table.from_batches([out])
 
     teams = stored(rows.mapInArrow(gather, "team long, texts binary"), "lm-teams")
+    sent.append(teams)
     asked = teams.mapInArrow(ask, "share long, team long, keys binary")
     filters = model.blocks.select("block", "bits", F.shiftright("block", SHARE.bit_length() - 1).alias("share"))
     answers = asked.repartition(n, "share").groupBy("share").cogroup(filters.repartition(n, "share").groupBy("share")).applyInArrow(answer, "team long, share long, levels binary")
@@ -482,9 +485,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = columns_as(docs, doc_id="doc_id", text="text").select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     way = _scored_broadcast if model.size <= model.settings.broadcast_bytes else _scored_shuffled
     frequent_from, sent = model.frequent_from(), []
-    found = stored(way(rows, model, frequent_from, sent), "lm-scored")
-    for broadcast in sent:
-        broadcast.unpersist()
+    with shuffles_released(docs.sparkSession):
+        found = stored(way(rows, model, frequent_from, sent), "lm-scored")
+    for x in sent:
+        dropped(x) if isinstance(x, DataFrame) else x.unpersist()
     whole = model.tokens + 1 * (model.words + 1)
     rare = found.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = rare.join(model.vocabulary.where(F.col("n") < frequent_from).hint("shuffle_hash"), "word", "left")  # a task's share of words is small

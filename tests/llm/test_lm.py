@@ -5,10 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from lattica.functions.storage import shared_dir, shuffles_released, stored
 from lattica.llm import lm
 
 
@@ -146,3 +148,25 @@ def test_levels_of_keys_in_any_order_and_number():
     assert (held.levels(asked[order]) == got[order]).all() and (held.levels(np.sort(asked)) == got[np.argsort(asked)]).all()
     some = rng.choice(len(asked), 500, replace=False)
     assert [plain(asked[k]) for k in some] == got[some].tolist()
+
+
+def test_what_was_shuffled_or_stored_on_the_way_is_deleted(docs):
+    spark = docs.sparkSession
+    folder, disk = Path(shared_dir(spark).removeprefix("file://")), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    model = lm.train(docs, lm.Settings(block_text=20_000, broadcast_bytes=0))
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+    files = shuffled()
+    rows = docs.selectExpr("monotonically_increasing_id() AS key", "doc_id", "text")
+    with shuffles_released(spark):
+        stored(lm._scored_shuffled(rows, model, model.frequent_from(), []), "released")
+    after = shuffled() - files
+    stored(lm._scored_shuffled(rows, model, model.frequent_from(), []), "kept")
+    assert len(shuffled() - files - after) > len(after) + 8  # of texts, n-grams and levels; what is left after the first is from counting frequent words
+    earlier = set(folder.glob("lm-*"))
+    found = lm.score(docs, model)
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.glob("lm-*")) - earlier} == {"lm-scored"}
+    assert found.count() == docs.count() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
